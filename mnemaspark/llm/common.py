@@ -69,3 +69,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def append(df: DataFrame, fields: str, fn, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns made by ``fn(batch) -> list of arrow arrays``, streamed by Arrow batches.
+
+    Columns of ``df`` with the names of new ones are replaced; all others pass unchanged.
+    """
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(fields)
+    names = [f.name for f in new.fields]
+    kept = without(df, *names, *drop).columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *fn(b)], names=[*kept, *names])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new.fields]))

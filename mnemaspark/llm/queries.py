@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding
+from . import decontaminate, quality, secrets, sharding
 from .common import table
 
 
+def op3_quality(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -14,5 +22,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_decontaminate, op9_secret_scan, op10_sharding)}
 SQL: dict[str, str] = {}
