@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, quality, secrets, sharding, tokenout
+from . import bpe, chat, decontaminate, neardup, quality, secrets, sharding, tokenout
 from .common import table
 
 #: Placed at the tokenizers' folder by name: vocabularies are parameters, not part of this library.
@@ -34,6 +34,10 @@ def op6_token_output(spark, sf_dir):
     return tokenout.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_minhash_dedup(spark, sf_dir):
+    return neardup.near_dup_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
 SQL: dict[str, str] = {}
