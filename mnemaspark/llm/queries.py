@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, neardup, quality, secrets, sharding, tokenout
+from . import bpe, chat, decontaminate, embdedup, neardup, quality, secrets, sharding, tokenout
 from .common import table
 
 #: Placed at the tokenizers' folder by name: vocabularies are parameters, not part of this library.
@@ -18,6 +18,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(made))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embdedup.embedding_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
 SQL: dict[str, str] = {}
