@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, embdedup, neardup, quality, secrets, sharding, tokenout
+from . import bpe, chat, decontaminate, embdedup, neardup, quality, secrets, sharding, substrings, tokenout
 from .common import table
 
 #: Placed at the tokenizers' folder by name: vocabularies are parameters, not part of this library.
@@ -38,6 +38,10 @@ def op6_token_output(spark, sf_dir):
     return tokenout.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark, sf_dir):
     return neardup.near_dup_digest(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op7_suffix_dedup, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
 SQL: dict[str, str] = {}
