@@ -89,3 +89,31 @@ def append(df: DataFrame, fields: str, fn, drop: tuple[str, ...] = ()) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *fn(b)], names=[*kept, *names])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new.fields]))
+
+
+class Memo(dict):
+    """What a worker remembers of words, at most ``limit`` of them.
+
+    Two generations: the younger fills up to half of the limit, then takes the place of the
+    older; a word still in use moves from the older to the younger. ``make`` is given a list
+    of words not met before and returns their values.
+    """
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.half, self.older = make, limit // 2, {}
+
+    def of(self, words: list) -> list:
+        try:
+            return [self[w] for w in words]
+        except KeyError:
+            pass
+        wanted = set(words)
+        if len(self) + len(wanted) > self.half:
+            self.older = dict(self)
+            self.clear()
+        older = self.older
+        self.update({w: older[w] for w in wanted if w not in self and w in older})
+        new = [w for w in wanted if w not in self]
+        self.update(zip(new, self.make(new), strict=True))
+        return [self[w] for w in words]

@@ -43,7 +43,6 @@ class Writer:
 
     def __init__(self, out: BinaryIO, width: int = 4):
         self.out, self.width = out, width
-        self.kind = np.dtype(f"<u{width}")
         self.frames: list[tuple[int, int, int]] = []
         self.ids: list[int] = []
         self.has_id: list[bool] = []
@@ -52,11 +51,12 @@ class Writer:
         self.size = 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        raw = memoryview(np.ascontiguousarray(ids.astype(self.kind))).cast("B")
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """``ids`` are little-endian unsigned integers of ``width`` bytes."""
+        raw = memoryview(ids)
         self.ids.append(0 if doc_id is None else doc_id)
         self.has_id.append(doc_id is not None)
-        self.counts.append(len(ids))
+        self.counts.append(len(ids) // self.width)
         for at in range(0, len(raw), FRAME_BYTES):
             piece = raw[at : at + FRAME_BYTES]
             if self.size + len(piece) > FRAME_BYTES:

@@ -6,10 +6,14 @@ number of documents and ids), so positions in the whole corpus are sums over fil
 
 The tokenizer drops white space and never joins text across it, so each stretch between
 spaces is encoded by the library once and remembered; ``MEMO`` bounds what a worker keeps.
+Texts of ASCII and Latin-1 letters, where the normaliser does no more than lower-case, are cut
+here as the pre-tokenizer would cut them, and the library's model encodes each piece once.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import uuid
 import zlib
@@ -19,46 +23,68 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Memo, Stage
 from .tokenfile import Reader, Writer
 
-MEMO = 400_000
-STRETCH = 1 << 16
+MEMO = 800_000
 _SPACES = re.compile(r"[ \n\t\r]+")
 
+#: The parts of a tokenizer file that the cut below stands for; another file takes the general way.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_LOW = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(f"[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00de{_LOW}]*").fullmatch
+_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOW}]+|[0-9]|[^\s0-9{_LOW}]+").findall
+#: The public byte-to-character table of byte-level BPE: printable bytes stand for themselves, others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class Encoder:
-    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
+        self.kind = f"<u{width}"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(self.tokenizer.to_str())
+        fast = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _PRE_TOKENIZER
+        self.pieces = Memo(self._pieces, MEMO) if fast else None
+        self.stretches = Memo(self._stretches, MEMO // 4)
+
+    def _stretches(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        model = self.tokenizer.model
+        return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))], dtype=self.kind).tobytes() for w in words]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _SPACES.split(text or "")
-        memo = self.memo
-        try:
-            return np.concatenate([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype=np.uint32)
-        return np.concatenate([memo[w] for w in words])
+    def __call__(self, text: str | None) -> bytes:
+        text = text or ""
+        if any(s in text for s in self.special):
+            return self._stretches([text])[0]
+        if self.pieces is not None and _SIMPLE(text):
+            return b"".join(self.pieces.of(_CUT(text.lower())))
+        return b"".join(self.stretches.of(_SPACES.split(text)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, width: int) -> Encoder:
+    """One for each worker process: its words outlive a task."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
 
 
 def _fs(uri: str):
@@ -83,8 +109,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, width
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, writer, sink = encoder(path), None, None
-        end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        encode, writer, sink = encoder(path, width), None, None
+        end = b"" if end_id is None else end_id.to_bytes(width, "little")
         target, where = _fs(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
         for b in batches:
@@ -93,7 +119,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, width
                     target.create_dir(where, recursive=True)
                     sink = target.open_output_stream(f"{where}/{name}", compression=None)
                     writer = Writer(sink, width)
-                writer.add(doc, np.concatenate([encode(text.as_py()), end]))
+                writer.add(doc, encode(text.as_py()) + end)
         if writer is not None:
             total = writer.close()
             sink.close()
