@@ -21,18 +21,29 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import append
+from .common import Memo, append
 
-MEMO = 400_000
+MEMO = 1_000_000
 LONG = 48
 BATCH_BYTES = 1 << 19
 BATCH_TOKENS = 1 << 19
 
+#: Letters of one code block: here \\w, \\s and \\p classes of all engines agree.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIMPLE = re.compile(rf"[\x00-\x1b\x20-\x7f{_LETTERS}]*").fullmatch
+#: For known patterns an equivalent on such texts.
+PLAIN = {
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": re.compile(
+        rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
+    ).findall
+}
+
 #: A row is (word, position, position and token of its right neighbour, token). The row right
 #: of the contracted pair takes its left row's place; words without a pair left are done.
 _SHORT = """
@@ -99,7 +110,9 @@ class Codec:
         import pyarrow as pa
         import regex
 
-        self.find = regex.compile(pattern).findall
+        find, plain = regex.compile(pattern).findall, PLAIN.get(pattern)
+        # the same cuts by a faster engine where the classes of both agree
+        self._cut = (lambda t: plain(t) if _SIMPLE(t) else find(t)) if plain else find
         ranks = read_ranks(path)
         triples = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, joined = (np.array(c, dtype=np.int32) for c in zip(*triples, strict=True))
@@ -110,14 +123,14 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._learn, MEMO)
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Encodings of words not met before, ``BATCH_BYTES`` of them at once."""
         import pyarrow as pa
 
         out: dict[str, bytes] = {}
-        new.sort(key=lambda w: (len(w) > LONG, w))
+        new = sorted(words, key=lambda w: (len(w) > LONG, w))
         at = 0
         while at < len(new):
             size, end, long = 0, at, len(new[at]) > LONG
@@ -133,24 +146,20 @@ class Codec:
             self.db.register("start", pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": (np.arange(len(tok)) - np.repeat(stops - sizes, sizes)).astype(np.int32), "tok": tok, "nxt": nxt}))
             got = self.db.sql(_LONG if long else _SHORT).to_arrow_table()
             self.db.unregister("start")
-            words, ids = got.column("w").to_numpy(), got.column("tok").to_numpy().astype("<u4")
-            first = np.flatnonzero(np.diff(words, prepend=-1))
+            whose, ids = got.column("w").to_numpy(), got.column("tok").to_numpy().astype("<u4")
+            first = np.flatnonzero(np.diff(whose, prepend=-1))
             raw = ids.tobytes()
-            for w, a, b in zip(words[first].tolist(), (4 * first).tolist(), (4 * np.append(first[1:], len(words))).tolist(), strict=True):
+            for w, a, b in zip(whose[first].tolist(), (4 * first).tolist(), (4 * np.append(first[1:], len(whose))).tolist(), strict=True):
                 out[new[at + w]] = raw[a:b]
             at = end
-        return out
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.find(t) for t in texts]
-        memo = self.memo
-        new = {w for ws in cut for w in ws if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = {w for ws in cut for w in ws}
-        memo.update(self._learn(list(new)))
-        return [b"".join([memo[w] for w in ws]) for ws in cut]
+        cut = [self._cut(t) for t in texts]
+        distinct = list({w for ws in cut for w in ws})
+        known = dict(zip(distinct, self.memo.of(distinct), strict=True))
+        return [b"".join([known[w] for w in ws]) for ws in cut]
 
     def decode(self, encoded: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(index, bytes) of each run of ids; an encoding over ``BATCH_TOKENS`` comes in pieces, in order."""
@@ -229,14 +238,12 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     return append(rows, "decoded binary", run)
 
 
-def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The digest result: one row for each row of ``docs``; ids and decoded bytes don't leave the worker."""
-
+def _digests(keep_ids: bool, path: str, pattern: str):
     def run(batch):
         import pyarrow as pa
 
         texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        n, ids_hash, decoded_hash = [], [], []
+        n, ids_hash, decoded_hash, kept = [], [], [], []
         for some in _pieces(texts):
             ids = codec(path, pattern).encode(some)
             hashes = [hashlib.sha256() for _ in some]
@@ -245,6 +252,25 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n += [len(x) // 4 for x in ids]
             ids_hash += [hashlib.sha256(x).hexdigest() for x in ids]
             decoded_hash += [h.hexdigest() for h in hashes]
-        return [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
+            if keep_ids:
+                kept += ids
+        columns = [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
+        if keep_ids:
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<u4").astype(np.int32))))
+        return columns
+
+    return run
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The digest result: one row for each row of ``docs``; ids and decoded bytes don't leave the worker."""
+    return append(docs.select("doc_id", "text"), _DIGESTS, _digests(False, path, pattern), ("text",))
+
 
-    return append(docs.select("doc_id", "text"), "n_tokens long, ids_sha256 string, decoded_sha256 string", run, ("text",))
+def bpe_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (array<int>) of every row, encoded and decoded in one pass."""
+    return append(docs.select("doc_id", "text"), _DIGESTS + ", ids array<int>", _digests(True, path, pattern), ("text",))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, append, without
+from .common import Memo, Stage, append, without
 from .graph import components
 from .setsketch import M, mix, similarity, sketch
 
@@ -32,7 +32,9 @@ BAND_ROWS = 6
 BANDS = M // BAND_ROWS
 NUMERATOR, DENOMINATOR = 85, 100
 #: The estimate's standard error at the threshold is about 0.022; pairs further below are ruled out.
-MARGIN = 0.11
+MARGIN = 0.09
+#: A pair at the threshold shares one of so many bands but for a chance of two in a million.
+OPEN_BANDS = 28
 MEMO = 400_000
 CHUNK = 1 << 19
 PER_SALT = 512
@@ -45,22 +47,13 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the five-word shingles of a text."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.memo = Memo(lambda words: [xxhash.xxh64_intdigest(w) for w in words], MEMO)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().translate(_LOWER).split()
         if not words:
             return np.array([], dtype=np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        try:
-            h = np.array([memo[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = xxhash.xxh64_intdigest(w)
-            h = np.array([memo[w] for w in words], dtype=np.uint64)
+        h = np.array(self.memo.of(words), dtype=np.uint64)
         if len(h) < WORDS:
             out = np.array([len(h)], dtype=np.uint64)
             for i in range(len(h)):
@@ -105,19 +98,21 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, id): a key for each band of each class."""
+    """(id, n, bands, places): a key for each band of each class, and its registers as an array."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u2").reshape(-1, M)[:, : BANDS * BAND_ROWS].astype(np.uint64)
+            whole = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype="<u2").reshape(-1, M)
+            regs = whole[:, : BANDS * BAND_ROWS].astype(np.uint64)
             key = np.tile(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(regs), 1))
             for i in range(BAND_ROWS):
                 key = mix(key * _POWERS[1] + regs[:, i::BAND_ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "id"])
+            lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1, dtype=np.int32) * size), pa.array(x.ravel())) for size, x in ((BANDS, key.view(np.int64)), (M, whole.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["id", "n", "bands", "places"])
 
-    return classes.select("id", "regs").mapInArrow(run, "key long, id long")
+    return classes.select("id", "n", "regs").mapInArrow(run, "id long, n long, bands array<long>, places array<int>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -198,7 +193,7 @@ def link(docs: DataFrame, stage: Stage) -> DataFrame:
     member = stage.write(named.select("doc_id", "n", "s1", "s2").join(grouped, ["n", "s1", "s2"]).select("doc_id", "id", "n").distinct(), "member")
     classes = stage.write(rows.select("doc_id", "n", "regs").join(member.filter("doc_id = id").select("id", F.col("n").alias("own")), F.expr("doc_id = id and n = own"), "left_semi").select(F.col("doc_id").alias("id"), "n", "regs").dropDuplicates(["id"]), "classes")
 
-    entries = _bands(classes)
+    entries = _bands(classes).select("id", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     shared = stage.write(entries.join(buckets, "key").select("key", "id", "leader"), "shared")
     led = shared.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
@@ -212,7 +207,7 @@ def link(docs: DataFrame, stage: Stage) -> DataFrame:
         # of a bucket that is one component nothing is left to do
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
         open_ = placed.join(mixed, "key")
-        across = _across(open_, full=i == 3)
+        across = _across(open_, classes if i == 3 else None)
         tested = stage.write(_likely(across, classes), f"across-{i}")
         new = stage.write(_verified(tested, sets), f"links-{i}")
         links = links.union(new)
@@ -223,19 +218,26 @@ def link(docs: DataFrame, stage: Stage) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(open_: DataFrame, full: bool) -> DataFrame:
+def _across(open_: DataFrame, classes: DataFrame | None) -> DataFrame:
     """Pairs in a bucket from different components.
 
-    Not ``full``: each component of a bucket with its smallest member against the members of
-    the bucket's first component's smallest. ``full``: all pairs across components.
+    Without ``classes``: the smallest members of the bucket's components against that of the
+    last. With it: all pairs across components, each made in the first of ``OPEN_BANDS`` bands
+    that both share only, and not made if sizes lie too far apart or too few registers agree.
     """
-    if not full:
+    if classes is None:
         heads = open_.groupBy("key", "component").agg(F.min("id").alias("head"))
-        lead = heads.groupBy("key").agg(F.max_by("head", "head").alias("lead"))
+        lead = heads.groupBy("key").agg(F.max("head").alias("lead"))
         return heads.join(lead, "key").filter("head <> lead").select(F.least("head", "lead").alias("a"), F.greatest("head", "lead").alias("b")).distinct()
-    x = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = classes.join(open_.select("id").distinct(), "id", "left_semi")
+    full = open_.join(_bands(own).withColumn("bands", F.slice("bands", 1, OPEN_BANDS)), "id").filter(F.array_contains("bands", F.col("key")))
+    x = full.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bands").alias("ba"), F.col("places").alias("pa"))
+    y = full.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bands").alias("bb"), F.col("places").alias("pb"))
+    made = x.alias("x").join(y.alias("y"), F.expr(
+        f"x.key = y.key and ca < cb and {DENOMINATOR} * least(na, nb) >= {NUMERATOR} * greatest(na, nb)"
+        " and array_position(zip_with(ba, bb, (s, t) -> s = t), true) = array_position(ba, x.key)"
+        f" and size(filter(zip_with(pa, pb, (s, t) -> s = t), s -> s)) >= {int(M * (NUMERATOR / DENOMINATOR - MARGIN))}"))
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_dup_digest(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, without
+from .common import Memo, append, without
 
 BITS = 18
 MAX_LABELLED = 16_000
@@ -32,20 +32,11 @@ class Hasher:
     """Coordinates and values of a text: words and word pairs, square roots of their shares (of unit length)."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(lambda words: [zlib.crc32(w.encode()) for w in words], MEMO)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tokens = _TOKEN.findall((text or "").lower())
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        try:
-            one = np.array([memo[t] for t in tokens], dtype=np.uint64)
-        except KeyError:
-            for t in set(tokens):
-                if t not in memo:
-                    memo[t] = zlib.crc32(t.encode())
-            one = np.array([memo[t] for t in tokens], dtype=np.uint64)
+        one = np.array(self.memo.of(tokens), dtype=np.uint64)
         two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         two[one[:-1] == one[1:]] = REPEAT  # a word said twice is one feature, whatever the word
         mixed = np.concatenate([one * np.uint64(0xD6E8FEB86659FD93), two * np.uint64(0xFF51AFD7ED558CCD)])
