@@ -6,9 +6,10 @@
    aggregated, never listed: a bucket gives each member its smallest class as leader.
 3. Each class is verified against the leader it shares most bands with; verified links give
    components.
-4. What is left are pairs in a bucket that lie in different components. All those that the
-   likelihood estimate doesn't rule out are verified too, so a link between
-   components is never lost for want of a leader. Pairs inside a component are never made.
+4. What is left are buckets that hold several components. Of their classes, all pairs across
+   components that share a rare shingle (a prefix filter, which loses no link) and that the
+   likelihood estimate doesn't rule out are verified too, so a link is never lost for
+   want of a leader. Pairs inside a component are never made.
 
 Verification ships each set once to the partition of its leader, salted where a leader has
 many members.
@@ -16,7 +17,9 @@ many members.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -32,12 +35,12 @@ BAND_ROWS = 6
 BANDS = M // BAND_ROWS
 NUMERATOR, DENOMINATOR = 85, 100
 #: The estimate's standard error at the threshold is about 0.022; pairs further below are ruled out.
-MARGIN = 0.09
-#: A pair at the threshold shares one of so many bands but for a chance of two in a million.
-OPEN_BANDS = 28
+MARGIN = 0.11
 MEMO = 400_000
 CHUNK = 1 << 19
 PER_SALT = 512
+BLOCK = 128
+ROUNDS = 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WORDS)], dtype=np.uint64)
@@ -98,21 +101,20 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(id, n, bands, places): a key for each band of each class, and its registers as an array."""
+    """(id, bands): a key for each band of each class."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            whole = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype="<u2").reshape(-1, M)
-            regs = whole[:, : BANDS * BAND_ROWS].astype(np.uint64)
+            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<u2").reshape(-1, M)[:, : BANDS * BAND_ROWS].astype(np.uint64)
             key = np.tile(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(regs), 1))
             for i in range(BAND_ROWS):
                 key = mix(key * _POWERS[1] + regs[:, i::BAND_ROWS])
-            lists = (pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1, dtype=np.int32) * size), pa.array(x.ravel())) for size, x in ((BANDS, key.view(np.int64)), (M, whole.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], names=["id", "n", "bands", "places"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys], names=["id", "bands"])
 
-    return classes.select("id", "n", "regs").mapInArrow(run, "id long, n long, bands array<long>, places array<int>")
+    return classes.select("id", "regs").mapInArrow(run, "id long, bands array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,14 +204,16 @@ def link(docs: DataFrame, stage: Stage) -> DataFrame:
     sets = stage.write(_sets(docs, shared.select("id").distinct()), "sets")
     links = stage.write(_verified(first, sets), "links-0")
     found = components(links, stage, "c0")
-    for i in range(1, 4):
+    for i in range(1, ROUNDS + 1):
         placed = stage.write(shared.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")), f"placed-{i}")
         # of a bucket that is one component nothing is left to do
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
         open_ = placed.join(mixed, "key")
-        across = _across(open_, classes if i == 3 else None)
-        tested = stage.write(_likely(across, classes), f"across-{i}")
-        new = stage.write(_verified(tested, sets), f"links-{i}")
+        if i < ROUNDS:
+            tested = stage.write(_likely(_heads(open_), classes), f"across-{i}")
+            new = stage.write(_verified(tested, sets), f"links-{i}")
+        else:
+            new = stage.write(_across(open_, classes, sets, stage), f"links-{i}")
         links = links.union(new)
         found = components(links, stage, f"c{i}")
     final = member.select("doc_id", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("doc_id").alias("op8_doc"), F.coalesce("component", "id").alias("component_id")).groupBy("op8_doc").agg(F.min("component_id").alias("component_id"))
@@ -218,26 +222,64 @@ def link(docs: DataFrame, stage: Stage) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(open_: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Pairs in a bucket from different components.
+def _heads(open_: DataFrame) -> DataFrame:
+    """Pairs of the smallest members of a bucket's components, each against that of the last."""
+    heads = open_.groupBy("key", "component").agg(F.min("id").alias("head"))
+    lead = heads.groupBy("key").agg(F.max("head").alias("lead"))
+    return heads.join(lead, "key").filter("head <> lead").select(F.least("head", "lead").alias("a"), F.greatest("head", "lead").alias("b")).distinct()
 
-    Without ``classes``: the smallest members of the bucket's components against that of the
-    last. With it: all pairs across components, each made in the first of ``OPEN_BANDS`` bands
-    that both share only, and not made if sizes lie too far apart or too few registers agree.
+
+def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame, stage: Stage) -> DataFrame:
+    """The links (a, b) between components of all classes that share a bucket with another component.
+
+    Classes that buckets connect are a family. A family is cut into blocks of about ``BLOCK``
+    classes and each pair of blocks is compared once, in a task: sizes and registers first,
+    then the likelihood, then the full sets. Only links leave the task, never pairs.
     """
-    if classes is None:
-        heads = open_.groupBy("key", "component").agg(F.min("id").alias("head"))
-        lead = heads.groupBy("key").agg(F.max("head").alias("lead"))
-        return heads.join(lead, "key").filter("head <> lead").select(F.least("head", "lead").alias("a"), F.greatest("head", "lead").alias("b")).distinct()
-    own = classes.join(open_.select("id").distinct(), "id", "left_semi")
-    full = open_.join(_bands(own).withColumn("bands", F.slice("bands", 1, OPEN_BANDS)), "id").filter(F.array_contains("bands", F.col("key")))
-    x = full.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bands").alias("ba"), F.col("places").alias("pa"))
-    y = full.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bands").alias("bb"), F.col("places").alias("pb"))
-    made = x.alias("x").join(y.alias("y"), F.expr(
-        f"x.key = y.key and ca < cb and {DENOMINATOR} * least(na, nb) >= {NUMERATOR} * greatest(na, nb)"
-        " and array_position(zip_with(ba, bb, (s, t) -> s = t), true) = array_position(ba, x.key)"
-        f" and size(filter(zip_with(pa, pb, (s, t) -> s = t), s -> s)) >= {int(M * (NUMERATOR / DENOMINATOR - MARGIN))}"))
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lead = open_.groupBy("key").agg(F.min("id").alias("lead"))
+    families = components(open_.join(lead, "key").select(F.col("id").alias("a"), F.col("lead").alias("b")), stage, "families")
+    own = open_.select("id", "component").distinct().join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
+    sizes = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other"))
+    met = dealt.select(cell.alias("cell"), (F.col("own") <= F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"), "id", "component")
+    full = met.join(classes, "id").join(sets, "id").select("cell", "side", "same", "id", "component", "n", "regs", "hashes")
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = (r for t in batches for r in zip(*(c.to_pylist() for c in t.columns), strict=True))
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            group = list(group)
+            same = group[0][2]
+            x = [r for r in group if same or r[1]]
+            y = x if same else [r for r in group if not r[1]]
+            links = list(_links(x, y, same)) if x and y else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], names=["a", "b"])
+
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def _links(x: list[tuple], y: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
+    """Links of two blocks of (cell, side, same, id, component, n, regs, hashes) rows, of different components."""
+    ids, comp, n = (np.array([r[i] for r in y]) for i in (3, 4, 5))
+    regs = np.frombuffer(b"".join(r[6] for r in y), dtype="<u2").reshape(-1, M)
+    for i, r in enumerate(x):
+        possible = (comp != r[4]) & (DENOMINATOR * np.minimum(n, r[5]) >= NUMERATOR * np.maximum(n, r[5]))
+        if same:
+            possible[: i + 1] = False
+        at = np.flatnonzero(possible)
+        if not len(at):
+            continue
+        own = np.frombuffer(r[6], dtype="<u2")[None, :]
+        at = at[similarity(np.broadcast_to(own, (len(at), M)), regs[at], np.full(len(at), r[5]), n[at]) >= NUMERATOR / DENOMINATOR - MARGIN]
+        mine = np.frombuffer(r[7], dtype="<u8")
+        for j in at.tolist():
+            theirs = np.frombuffer(y[j][7], dtype="<u8")
+            common = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if DENOMINATOR * common >= NUMERATOR * (len(mine) + len(theirs) - common):
+                yield r[3], int(ids[j])
 
 
 def near_dup_digest(docs: DataFrame) -> DataFrame:
