@@ -39,7 +39,7 @@ GRAM = 18
 SPREAD = LENGTH - GRAM  # a string around a sample starts at most this far before it
 WIDTH = LENGTH + SPREAD  # of a context
 PART_BYTES = 24 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 HOT = 200_000
 
 _U = np.uint64
@@ -174,7 +174,7 @@ def _sampled(rows: DataFrame, parts: int) -> DataFrame:
                 doc, pos, gram, ctx = sample(data, ends)
                 held.append((np.array(ids)[doc], np.array(rids)[doc], pos, gram, ctx))
                 size += len(doc)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
