@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, append
 
-MEMO = 1_000_000
+MEMO = 500_000
 LONG = 48
-BATCH_BYTES = 1 << 19
-BATCH_TOKENS = 1 << 19
+BATCH_BYTES = 1 << 18
+BATCH_TOKENS = 1 << 18
 
 #: Letters of one code block: here \\w, \\s and \\p classes of all engines agree.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -117,7 +117,7 @@ class Codec:
         triples = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, joined = (np.array(c, dtype=np.int32) for c in zip(*triples, strict=True))
         early = np.isin(joined, np.concatenate([left[joined < left], right[joined < right]]))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "450MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": left.astype(np.int64) * 131072 + right, "id": joined, "solo": early})  # noqa: F841
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "txt": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -197,7 +197,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _pieces(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
     out, size = [], 0
     for t in texts:
         out.append(t)
