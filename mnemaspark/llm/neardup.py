@@ -36,7 +36,7 @@ BANDS = M // BAND_ROWS
 NUMERATOR, DENOMINATOR = 85, 100
 #: The estimate's standard error at the threshold is about 0.022; pairs further below are ruled out.
 MARGIN = 0.11
-MEMO = 400_000
+MEMO = 200_000
 CHUNK = 1 << 19
 PER_SALT = 512
 BLOCK = 128

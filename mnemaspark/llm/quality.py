@@ -21,7 +21,7 @@ BITS = 18
 MAX_LABELLED = 16_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
-MEMO = 500_000
+MEMO = 200_000
 REPEAT = np.uint64(0x5851F42D4C957F2D)
 MIN_UPDATES = 48_000
 
