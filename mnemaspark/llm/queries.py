@@ -6,6 +6,7 @@ import public_tokenizers
 
 from . import bpe, chat, decontaminate, embdedup, neardup, quality, secrets, sharding, substrings, tokenout
 from .common import table
+from .sql import SQL  # noqa: F401  for the entry
 
 #: Placed at the tokenizers' folder by name: vocabularies are parameters, not part of this library.
 BYTE_BPE, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -55,4 +56,4 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op7_suffix_dedup, op8_minhash_dedup, op9_secret_scan, op10_sharding)}
-SQL: dict[str, str] = {}
+
