@@ -99,7 +99,8 @@ def semantic(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame
 
 def tiered(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
     """Structural first; where it has under two, the semantic tier adds what is not there yet."""
-    first = structural(questions, memories, k).withColumn("tier", F.lit("structural"))
+    # k rows for each question at most, read three times below
+    first = structural(questions, memories, k).withColumn("tier", F.lit("structural")).persist()
     few = questions.join(first.groupBy("query_id").count().filter("count >= 2"), "query_id", "left_anti")
     second = semantic(few, memories, k).withColumn("tier", F.lit("semantic"))
     second = second.join(first.select("query_id", "id"), ["query_id", "id"], "left_anti")
