@@ -1,7 +1,8 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors of a label are one node. A forest of random hyperplane trees deals the nodes of
-a label into small leaves; each leaf gives its nodes their first neighbours. Then the graph is
+a label into small leaves; each leaf gives its nodes their first neighbours. Overfull leaves are
+cut further, and what can't be cut is compared block against block. Then the graph is
 refined: every node brings its neighbours, and the nodes that have it as a neighbour,
 together, and those learn of each other (neighbours of neighbours), until a round finds no
 new link. Lists keep the ``K`` best. Where a list is full of links (saturated) it cannot hold
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -33,6 +35,12 @@ K = 8
 LEAF = 200
 LEAF_MAX = 512
 MISS = 1e-4
+#: Cuts of overfull leaves: random directions to choose from, times at most; each side has at most 0.5 + WIDE of the nodes.
+DIRECTIONS = 4
+LEVELS = 60
+WIDE = 0.15
+#: 0.75 of the standard deviation of what a pair at the threshold differs by on a direction (scaled by the root of the dimensions).
+GAP = 0.75 * math.sqrt(2 - 2 * THRESHOLD)
 ROUNDS = 6
 AUDIT = 256
 BLOCK = 1024
@@ -143,8 +151,44 @@ def _join(together: DataFrame, key: str, top: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, sim double, tree boolean")
 
 
-def _leaves(nodes: DataFrame, depth: dict[str, int], trees: int, seed: int) -> DataFrame:
-    """(leaf, node, unit) for each tree. Leaves of many nodes are dealt on at random."""
+def _projected(rows: DataFrame, seed: int, level: int) -> DataFrame:
+    """(leaf, node, unit, at): ``at`` is the place of the vector on each of ``DIRECTIONS`` random directions of its tree."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            trees = [int(leaf.rsplit("/", 2)[1]) for leaf in b.column(0).to_pylist()]
+            units, at = b.column(2).to_pylist(), np.zeros((len(trees), DIRECTIONS))
+            own: dict[tuple[int, int], list[int]] = {}
+            for i, t in enumerate(trees):
+                own.setdefault((t, len(units[i]) // 8), []).append(i)
+            for (t, dims), rows in own.items():
+                u = np.random.default_rng([seed, t, dims, level + 1]).standard_normal((dims, DIRECTIONS))
+                at[rows] = _matrix([units[i] for i in rows]) @ (u / np.linalg.norm(u, axis=0)) * math.sqrt(dims)
+            places = pa.ListArray.from_arrays(pa.array(np.arange(len(trees) + 1, dtype=np.int32) * DIRECTIONS), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), places], names=["leaf", "node", "unit", "at"])
+
+    return rows.select("leaf", "node", "unit").mapInArrow(run, "leaf string, node long, unit binary, at array<double>")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(leaf, node, unit) such that all pairs of an old leaf meet in some new one, of two blocks of at most about ``LEAF_MAX`` nodes."""
+    sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_MAX).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("own <> other or blocks = 1")
+    return dealt.select(F.concat_ws("/", "leaf", F.lit("block"), F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "node", "unit")
+
+
+def _leaves(nodes: DataFrame, depth: dict[str, int], trees: int, seed: int, stage: Stage) -> DataFrame:
+    """(leaf, node, unit) for each tree.
+
+    A leaf of over ``LEAF_MAX`` nodes, such as a narrow cone that no plane through the origin
+    cuts, is halved at the median of the widest of some directions, again and again. Nodes
+    within ``GAP`` of the cut go to both sides, so that a pair at the threshold is cut apart
+    less often than by a plane. Where no direction is wide enough for that, all pairs of the
+    leaf are compared, once if trees have the same leaf.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -167,9 +211,34 @@ def _leaves(nodes: DataFrame, depth: dict[str, int], trees: int, seed: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(node, pa.int64()), pa.array(unit, pa.binary())], names=["leaf", "node", "unit"])
 
     dealt = nodes.select("grp", "node", "unit").mapInArrow(run, "leaf string, node long, unit binary")
-    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_MAX).select("leaf", F.ceil(F.col("n") / LEAF).cast("int").alias("parts"))
-    part = F.when(F.col("parts").isNotNull(), F.concat_ws("/", "leaf", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))).otherwise(F.col("leaf"))
-    return dealt.join(sizes, "leaf", "left").select(part.alias("leaf"), "node", "unit")
+    over = stage.write(dealt.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF_MAX).select("leaf"), f"over-{seed}")
+    if over.isEmpty():
+        return dealt
+    fit, stuck = [dealt.join(over, "leaf", "left_anti")], []
+    open_ = dealt.join(over, "leaf", "left_semi")
+    for level in range(LEVELS):
+        open_ = stage.write(_projected(open_, seed, level), f"open-{seed}-{level}")
+        places = [F.percentile_approx(F.col("at")[i], [0.5 - WIDE, 0.5, 0.5 + WIDE], 1000) for i in range(DIRECTIONS)]
+        cuts = [F.struct(F.least(p[2] - p[1], p[1] - p[0]).alias("wide"), F.lit(i).alias("i"), p[1].alias("mid")) for i, p in enumerate(places)]
+        shape = open_.groupBy("leaf").agg(F.count("*").alias("n"), F.greatest(*cuts).alias("cut"))
+        shape = stage.write(shape.select("leaf", "n", "cut.*"), f"shape-{seed}-{level}")
+        own = open_.join(shape, "leaf")
+        narrow = F.col("wide") < GAP
+        fit.append(own.filter(F.col("n") <= LEAF_MAX).select("leaf", "node", "unit"))
+        stuck.append(own.filter((F.col("n") > LEAF_MAX) & narrow).select("leaf", "node", "unit"))
+        place = F.get("at", F.col("i"))
+        sides = F.array_compact(F.array(F.when(place <= F.col("mid") + GAP, F.lit("0")), F.when(place > F.col("mid") - GAP, F.lit("1"))))
+        # the side goes before the tree, which keeps its place from the right
+        parts = [F.regexp_extract("leaf", r"(?s)^(.*)(/\d+/\d+)$", i) for i in (1, 2)]
+        open_ = own.filter((F.col("n") > LEAF_MAX) & ~narrow).withColumn("side", F.explode(sides)).select(F.concat(parts[0], F.lit("/"), "side", parts[1]).alias("leaf"), "node", "unit")
+        if shape.filter((F.col("n") > LEAF_MAX) & ~narrow).isEmpty():
+            break
+    else:
+        stuck.append(open_)
+    left = stage.write(reduce(DataFrame.union, stuck), f"stuck-{seed}")
+    same = left.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    first = same.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
+    return reduce(DataFrame.union, [*fit, _blocks(left.join(first, "leaf", "left_semi"))])
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -273,7 +342,7 @@ def dedup(table: DataFrame, stage: Stage) -> DataFrame:
     truth = stage.write(_audit(nodes, total), "audit")
     links, graph, recall = None, None, 1.0
     for forest in range(FORESTS):
-        met = stage.write(_join(_leaves(nodes, depth, trees, 100 + forest), "leaf", K), f"leaf-{forest}")
+        met = stage.write(_join(_leaves(nodes, depth, trees, 100 + forest, stage), "leaf", K), f"leaf-{forest}")
         links = _fresh(met) if links is None else links.union(_fresh(met)).distinct()
         graph = stage.write(_best(met.select("a", "b", "sim") if graph is None else graph.union(met.select("a", "b", "sim")), K), f"graph-{forest}")
         for i in range(ROUNDS):

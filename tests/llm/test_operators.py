@@ -143,6 +143,39 @@ def test_embeddings(spark):
     assert embdedup.embedding_digest(table.limit(0)).count() == 0
 
 
+def brute_links(vectors):
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.98
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def test_embeddings_in_a_cone(spark, tmp_path):
+    """Leaves alone, without rounds, bring all pairs at the threshold together in a cone no plane cuts."""
+    rng = np.random.default_rng(8)
+    tight, wide, clump = (np.eye(64)[0] * c + rng.normal(size=(n, 64)) / 8 for c, n in ((4.0, 1500), (1.5, 3000), (40.0, 1100)))
+    for x in (tight, wide):
+        x[:100] = x[100:200] + rng.normal(size=(100, 64)) * np.linalg.norm(x[100:200], axis=1, keepdims=True) * 0.195 / 8
+    for name, x in {"tight": tight, "wide": wide, "clump": clump}.items():
+        hit = brute_links(x)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        nodes = spark.createDataFrame([("g/1", i, v.tobytes()) for i, v in enumerate(x)], "grp string, node long, unit binary")
+        leaves = embdedup._leaves(nodes, {"g/1": 4}, 7, 100, Stage(spark, f"cone-{name}"))
+        links = embdedup._fresh(embdedup._join(leaves, "leaf", 8)).collect()
+        assert all(hit[r["a"], r["b"]] for r in links)
+        part = list(range(len(x)))
+
+        def root(i, part=part):
+            while part[i] != i:
+                i = part[i]
+            return i
+
+        for r in links:
+            part[root(r["a"])] = root(r["b"])
+        missed = [(i, j) for i, j in np.argwhere(hit).tolist() if root(i) != root(j)]
+        assert hit.sum() >= 100 and not missed, (name, len(missed), hit.sum())
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (2, 0, None, "<|im_end|>\n"), (2, 0, None, "<|im_end|>\n"), (None, None, "user", "x"), (3, 5, "assistant", "")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
