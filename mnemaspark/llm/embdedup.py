@@ -11,8 +11,10 @@ connection is lost, and in the end the list of a node is enlarged to its whole c
 links are counted exactly, block against block, without making pairs.
 
 The number of trees follows from the depth, so that a pair at the threshold meets in a leaf
-with a chance of 1 - ``MISS`` whatever the number of vectors. A sample of at most ``AUDIT``
-nodes is compared with all nodes of its label; if a link is missing, a further forest is grown.
+with a chance of 1 - ``MISS`` whatever the number of vectors. A sample of nodes that has at
+least ``AUDIT`` links (all nodes, if the table has fewer) is compared with all nodes of its
+label; if a link is missing, a further forest is grown, and after the last one all pairs of
+a label are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import xxhash
@@ -41,7 +43,6 @@ LEVELS = 60
 WIDE = 0.15
 #: 0.75 of the standard deviation of what a pair at the threshold differs by on a direction (scaled by the root of the dimensions).
 GAP = 0.75 * math.sqrt(2 - 2 * THRESHOLD)
-ROUNDS = 6
 AUDIT = 256
 BLOCK = 1024
 FORESTS = 3
@@ -256,30 +257,49 @@ def _round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return _join(met.join(nodes.select("node", "unit"), "node"), "at", 4)
 
 
-def _audit(nodes: DataFrame, total: int) -> list[tuple[int, int]]:
-    """Links of at most about ``AUDIT`` sampled nodes, against all nodes of their labels."""
-    draw = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, AUDIT / max(total, 1)))
-    sample: dict[str, list] = {}
-    for r in nodes.filter(draw).select("grp", "node", "unit").collect():
-        sample.setdefault(r["grp"], []).append((r["node"], bytes(r["unit"])))
+def _of_sample(nodes: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) of a sample of the nodes (a), against all nodes of their labels (b), block against block."""
+    asked = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * share))
+    sizes = nodes.groupBy("grp").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("blocks"), F.ceil(F.count_if(asked) / BLOCK).cast("int").alias("parts"))
+    dealt = nodes.select("grp", "node", "unit").join(sizes.filter("parts > 0"), "grp")
+    part = lambda of, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
+    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = dealt.filter(asked).withColumn("p", part("parts", 12)).withColumn("q", upto("blocks")).withColumn("side", F.lit(0))
+    y = dealt.withColumn("q", part("blocks", 13)).withColumn("p", upto("parts")).withColumn("side", F.lit(1))
+    cells = x.unionByName(y).select(F.concat_ws("/", "grp", "p", "q").alias("cell"), "side", "node", "unit")
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            a, c = [], []
-            grps = np.array(b.column(0).to_pylist())
-            ids, units = b.column(1).to_numpy(), b.column(2).to_pylist()
-            for g, asked in sample.items():
-                at = np.flatnonzero(grps == g)
-                if len(at):
-                    hit = _matrix([u for _, u in asked]) @ _matrix([units[i] for i in at]).T >= THRESHOLD
-                    for q, i in zip(*np.nonzero(hit), strict=True):
-                        a.append(asked[q][0])
-                        c.append(int(ids[at[i]]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+        for _, rows in _groups(batches):
+            own = list(rows)
+            a, b = ([r for r in own if r[1] == side] for side in (0, 1))
+            if a and b:
+                hit = np.nonzero(_matrix([r[3] for r in a]) @ _matrix([r[3] for r in b]).T >= THRESHOLD)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([r[2] for r in x])[i]) for x, i in zip((a, b), hit, strict=True)], names=["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "side", "node").mapInArrow(run, "a long, b long").filter("a <> b")
+
+
+def _audit(nodes: DataFrame, total: int, stage: Stage) -> DataFrame:
+    """Links of sampled nodes, against all nodes of their labels.
 
-    return nodes.select("grp", "node", "unit").mapInArrow(run, "a long, b long").filter("a <> b")
+    The sample starts with about ``AUDIT`` nodes and grows until they have ``AUDIT`` links or
+    it is the whole table.
+    """
+    share = min(1.0, AUDIT / max(total, 1))
+    while True:
+        truth = stage.write(_of_sample(nodes, share), f"audit-{share}")
+        if share == 1.0 or truth.count() >= AUDIT:
+            return truth
+        share = min(1.0, 8 * share)
+
+
+def _recall(truth: DataFrame, found: DataFrame) -> float:
+    """The share of the links (a, b) whose ends are in one component."""
+    x, y = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    seen = truth.join(x, "a", "left").join(y, "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
+    return seen["hit"] / seen["n"] if seen["n"] else 1.0
 
 
 def _degrees(placed: DataFrame, stage: Stage) -> DataFrame:
@@ -330,7 +350,7 @@ def dedup(table: DataFrame, stage: Stage) -> DataFrame:
     non-finite components, link with nothing; so do rows of different labels or lengths.
     Every row counts, also those with equal vec_ids; rows without vec_id link as others
     do and have the component of their links, or null. audit_recall is the share of the
-    sampled links that the graph had connected before it was completed.
+    sampled links that are connected in the result, before components are completed.
     """
     rows = stage.write(vectors(table), "rows")
     nodes = stage.write(rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("grp").alias("grp"), F.first("unit").alias("unit")), "nodes")
@@ -339,26 +359,33 @@ def dedup(table: DataFrame, stage: Stage) -> DataFrame:
     meet = (1 - math.acos(THRESHOLD) / math.pi) ** max(depth.values(), default=0)
     trees = max(1, math.ceil(math.log(MISS) / math.log(max(1 - meet, 1e-9))))
     total = sum(counts.values())
-    truth = stage.write(_audit(nodes, total), "audit")
+    truth = _audit(nodes, total, stage)
     links, graph, recall = None, None, 1.0
     for forest in range(FORESTS):
         met = stage.write(_join(_leaves(nodes, depth, trees, 100 + forest, stage), "leaf", K), f"leaf-{forest}")
-        links = _fresh(met) if links is None else links.union(_fresh(met)).distinct()
+        links = stage.write(_fresh(met) if links is None else links.union(_fresh(met)).distinct(), f"links-{forest}")
         graph = stage.write(_best(met.select("a", "b", "sim") if graph is None else graph.union(met.select("a", "b", "sim")), K), f"graph-{forest}")
-        for i in range(ROUNDS):
+        for i in count():
             met = stage.write(_round(graph, nodes), f"met-{forest}-{i}")
             fresh = stage.write(_fresh(met).join(links, ["a", "b"], "left_anti"), f"fresh-{forest}-{i}")
-            added = fresh.count()
-            graph = stage.write(_best(graph.union(met.select("a", "b", "sim")), K), f"graph-{forest}-{i}")
-            links = stage.write(links.union(fresh).distinct(), f"links-{forest}-{i}")
-            if added <= total // 1000:
+            if fresh.isEmpty():
                 break
+            graph = stage.write(_best(graph.union(met.select("a", "b", "sim")), K), f"graph-{forest}-{i}")
+            links = stage.write(links.union(fresh), f"links-{forest}-{i}")
+            if i:
+                for name in ("met", "fresh", "graph", "links"):
+                    stage.drop(f"{name}-{forest}-{i - 1}")
         found = components(links, stage, f"c{forest}")
-        x, y = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        seen = truth.join(x, "a", "left").join(y, "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-        recall = seen["hit"] / seen["n"] if seen["n"] else 1.0
+        recall = _recall(truth, found)
         if recall == 1.0:
             break
+    else:
+        # the exact way: every pair of a label
+        every = nodes.select(F.col("grp").alias("leaf"), "node", "unit")
+        found = components(links.union(_fresh(_join(_blocks(every), "leaf", 1))), stage, "every")
+        recall = _recall(truth, found)
+        if recall < 1.0:
+            raise RuntimeError(f"{recall} of the sampled links found after all pairs were compared")
     placed = stage.write(nodes.join(found, "node").select("component", "node", "first", "unit", "copies"), "placed")
     degrees = stage.write(_degrees(placed, stage), "degrees")
     smallest = placed.groupBy("component").agg(F.min("first").alias("smallest"))

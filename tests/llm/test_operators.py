@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemaspark.llm import chat, decontaminate, embdedup, neardup, quality, queries, secrets, sharding, substrings, tokenout
 from mnemaspark.llm.common import Stage
@@ -176,6 +177,19 @@ def test_embeddings_in_a_cone(spark, tmp_path):
         assert hit.sum() >= 100 and not missed, (name, len(missed), hit.sum())
 
 
+def test_embeddings_the_graph_misses(spark, monkeypatch):
+    """Few links, and leaves that bring nobody together: the audit sees it and all pairs are compared."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1300, 16))
+    x[0], x[2] = x[1] * 1.0 + 0.01, x[3] + 0.01
+    hit = brute_links(x)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embdedup, "_leaves", lambda nodes, *_: nodes.select(F.concat_ws("/", "grp", "node").alias("leaf"), "node", "unit"))
+    got = {r["vec_id"]: r for r in embdedup.embedding_digest(table).collect()}
+    assert hit.sum() == 4 and [got[i]["n_links"] for i in range(len(x))] == hit.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(5)] == [0, 0, 2, 2, 4] and got[7]["audit_recall"] == 1.0
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (2, 0, None, "<|im_end|>\n"), (2, 0, None, "<|im_end|>\n"), (None, None, "user", "x"), (3, 5, "assistant", "")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
