@@ -56,11 +56,12 @@ def structural(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFra
     hits = named.join(has, "name").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
     by_name = hits.join(q, "query_id").alias("h").join(m.alias("m"), F.col("h.id") == F.col("m.id"))
     by_name = by_name.select(F.col("h.query_id").alias("query_id"), F.struct("h.who", "h.what", "h.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"), "hits")
-    asked = q.select("what", "query_type").distinct().withColumn("who", F.array().cast("array<string>"))
+    # whether names are asked for decides the weight of a place, so it ranks contents apart; which names does not
+    asked = q.select("what", "query_type", _names_only().alias("who")).distinct()
     # contents against what is asked: neither grows with the number of memories or questions of equal content
     content = asked.alias("q").crossJoin(profiles(m, k).alias("m")).select(F.struct("q.who", "q.what", "q.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"))
     useful = content.filter(((F.col("q.what") != "") & (_what_part() > 0)) | ((F.col("q.query_type") == "location") & ~F.col("m.place").isin("", "default")))
-    rank = Window.partitionBy("q.what", "q.query_type").orderBy(F.desc(match_score(F.lit(0))), F.col("m.seq"))
+    rank = Window.partitionBy("q.what", "q.query_type", "q.who").orderBy(F.desc(match_score(F.lit(0))), F.col("m.seq"))
     useful = useful.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= k)
     by_what = _by_what(q, useful)
     scored = by_name.unionByName(by_what).withColumn("score", match_score(F.col("hits"))).filter(F.col("score") >= LEAST)
@@ -68,10 +69,15 @@ def structural(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFra
     return _top(best.select("query_id", "score", "m.*"), k)
 
 
+def _names_only() -> Column:
+    """A list of one empty name where the question has names, else an empty list."""
+    return F.when(F.size("who") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+
+
 def _by_what(q: DataFrame, useful: DataFrame) -> DataFrame:
-    u = useful.select(F.col("q.what").alias("u_what"), F.col("q.query_type").alias("u_type"), "m")
+    u = useful.select(F.col("q.what").alias("u_what"), F.col("q.query_type").alias("u_type"), (F.size("q.who") > 0).alias("u_named"), "m")
     asked = q.select("query_id", "who", "what", "query_type")
-    joined = asked.join(u, (F.col("what") == F.col("u_what")) & (F.col("query_type") == F.col("u_type")))
+    joined = asked.join(u, (F.col("what") == F.col("u_what")) & (F.col("query_type") == F.col("u_type")) & ((F.size("who") > 0) == F.col("u_named")))
     return joined.select("query_id", F.struct("who", "what", "query_type").alias("q"), "m", F.lit(0).cast("long").alias("hits"))
 
 

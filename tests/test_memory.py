@@ -78,6 +78,13 @@ def test_recall_and_pack(spark):
     assert packs[1] == "Rita | pediu troca do produtoRita | elog" or packs[1].startswith("Rita | pediu troca do produto")
 
 
+def test_places_count_for_named_location_questions(spark):
+    m = memories(spark, *[([], "live", "", "default", 1.0)] * 6, ([], "live", "", "paris", 1.0))
+    q = intent.with_intent(spark.createDataFrame([(1, "where does Bob live?", "en")], "query_id long, question string, lang string"))
+    got = [(r["id"], round(r["score"], 3)) for r in recall.structural(q, m).orderBy("rank").collect()]
+    assert got == [(6, 0.444), (0, 0.375), (1, 0.375), (2, 0.375), (3, 0.375)]
+
+
 def test_validation(spark):
     m = memories(spark, (["Rita"], "cliente pediu troca", "", "loja", 0.5), (["Rita"], "cliente não pediu troca", "", "loja", 0.5), (["Caio"], "cliente não pediu troca", "", "loja", 0.5), (["Rita"], "troca pediu cliente", "", "loja", 0.5))
     things = spark.createDataFrame([(1, "Caio"), (2, "caio")], "id long, name string")
