@@ -45,6 +45,14 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + ADDED
+#: What redaction uses: a private key from its header to the END line or, where that is missing, to
+#: the end of its base64 lines (line breaks may be escaped). The digest query lists RULES.
+_BREAK = r"(?:\s|\\[rn])"
+_KEY = (
+    r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}{{0,4}}[A-Za-z0-9-]{{1,32}}: [^\r\n\\]*){{0,8}}(?:{_BREAK}{{0,16}}[A-Za-z0-9+/=]{{16,}}){{0,512}}(?:{_BREAK}{{1,4}}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_BREAK}*$|\s*\n))?)"
+)
+WHOLE = tuple(Rule(r.kind, _KEY) if r.kind == "private_key" else r for r in RULES)
 SPAN = "struct<start:int,at:int,end:int,kind:string>"
 
 
