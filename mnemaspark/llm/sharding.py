@@ -67,6 +67,15 @@ def _quantiles(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
     return cuts
 
 
+def _subdivided(splitters: list[Key], sample: list[tuple[Key, float]], parts: dict[int, int]) -> list[Key]:
+    """``splitters`` with those that cut each range of ``parts`` into so many; ranges count in ``splitters`` as given."""
+    own: dict[int, list[tuple[Key, float]]] = {r: [] for r in parts}
+    for key, w in sample:
+        if (r := bisect_left(splitters, key)) in own:
+            own[r].append((key, w))
+    return sorted({*splitters, *(cut for r, n in parts.items() for cut in _quantiles(own[r], n))})
+
+
 def assign(digests: DataFrame, stage: Stage, shards: int = SHARDS, law: str = "bytes", ranges: int = RANGES, per_range: int = PER_RANGE, seed: int = 7) -> DataFrame:
     """Shard and slot of every row of ``digests`` (doc_id, size, crc).
 
@@ -92,9 +101,7 @@ def assign(digests: DataFrame, stage: Stage, shards: int = SHARDS, law: str = "b
         if not over or again == ROUNDS - 1:
             break
         more = _sample(placed.filter(F.col("rng").isin([r["rng"] for r in over])), sum(r["b"] for r in over), per_range * 2 * len(over), seed + again + 1)
-        for r in over:
-            own = [(k, w) for k, w in more if bisect_left(splitters, k) == r["rng"]]
-            splitters = sorted({*splitters, *_quantiles(own, 1 + int(r["b"] / max(limit, 1)))})
+        splitters = _subdivided(splitters, more, {r["rng"]: 1 + int(r["b"] / max(limit, 1)) for r in over})
     before, b, n = {}, 0, 0
     for r in sorted(found, key=lambda r: r["rng"]):
         before[r["rng"]], b, n = (b, n), b + r["b"], n + r["n"]

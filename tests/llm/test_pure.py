@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from mnemaspark.llm import bpe, chat, decontaminate, neardup, quality, setsketch, substrings, template, tokenfile, tokenout, trigrams
+from mnemaspark.llm import bpe, chat, decontaminate, neardup, quality, setsketch, sharding, substrings, template, tokenfile, tokenout, trigrams
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -141,3 +141,9 @@ def test_trigram_queries():
     assert trigrams.query("abcd|xyz") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]
     assert trigrams.query("[0-9a-f]+") is None and trigrams.query("ab|abcd") is None
     assert trigrams.query("(?i:KEY)_?x") == [frozenset({"key", "ey_", "y_x"}), frozenset({"key", "eyx"})]
+
+
+def test_several_overfull_ranges_are_cut_in_one_round():
+    key = lambda k: (k, 0, 0)
+    sample = [(key(k), 1.0) for k in range(40)]
+    assert sharding._subdivided([key(9), key(19), key(29)], sample, {0: 2, 2: 2, 3: 2}) == [key(k) for k in (4, 9, 19, 24, 29, 34)]
