@@ -150,7 +150,7 @@ def _sampled(rows: DataFrame, parts: int) -> DataFrame:
             order = at[np.lexsort((pos[at], rid[at]))]
             place = np.concatenate([doc[order].view(np.uint8), rid[order].view(np.uint8), pos[order].astype(np.int32).view(np.uint8)]).tobytes()
             known = part < 0
-            return part, b"" if known else gram[order].tobytes(), b"" if known else (ctx[order] >> _U(32)).astype(np.uint32).tobytes(), b"" if known else (ctx[order] >> _U(16)).astype(np.uint16).tobytes(), zip_.compress(place)
+            return part, b"" if known else gram[order].tobytes(), b"" if known else (ctx[order] >> _U(32)).astype(np.uint32).tobytes(), b"" if known else ctx[order].astype(np.uint32).tobytes(), zip_.compress(place)
 
         def flush(held):
             doc, rid, pos, gram, ctx = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -231,7 +231,7 @@ def _ranked(packed: DataFrame, parts: int) -> DataFrame:
             gram, ctx, place = [], [], []
             for r in own:
                 gram.append(np.frombuffer(r[1], _U))
-                ctx.append((np.frombuffer(r[2], np.uint32).astype(_U) << _U(16)) | np.frombuffer(r[3], np.uint16))
+                ctx.append((np.frombuffer(r[2], np.uint32).astype(_U) << _U(32)) | np.frombuffer(r[3], np.uint32))
                 place.append(_places(r[4]))
             gram, ctx = np.concatenate(gram), np.concatenate(ctx)
             doc, rid, pos = (np.concatenate(c) for c in zip(*place, strict=True))

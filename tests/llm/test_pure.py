@@ -147,3 +147,18 @@ def test_several_overfull_ranges_are_cut_in_one_round():
     key = lambda k: (k, 0, 0)
     sample = [(key(k), 1.0) for k in range(40)]
     assert sharding._subdivided([key(9), key(19), key(29)], sample, {0: 2, 2: 2, 3: 2}) == [key(k) for k in (4, 9, 19, 24, 29, 34)]
+
+
+def test_contexts_keep_all_bits(monkeypatch):
+    import pyarrow as pa
+
+    ctx = np.array([7 << 32 | 1, 7 << 32 | 2, 7 << 32 | 1 << 16], dtype=np.uint64)
+    monkeypatch.setattr(substrings, "sample", lambda data, ends: (np.arange(3), np.zeros(3, np.int64), np.full(3, 5, np.uint64), ctx))
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(["x" * 100] * 3)], names=["doc_id", "rid", "text"])
+            return [r for b in run([batch]) for r in b.to_pylist()]
+
+    (r,) = substrings._sampled(Rows(), 1)
+    assert (np.frombuffer(r["ctx_high"], np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["ctx_low"], np.uint32)).tolist() == ctx.tolist()
