@@ -2,15 +2,19 @@
 
 Encoding: the text is cut by the tokenizer's pattern, and every word not met before becomes
 rows (word, position, token), a token for each byte. A recursive query joins neighbouring
-tokens with the merge table, finds each word's pair of least rank, contracts it, and ends
-when no word has a pair left. Decoding joins token rows with the vocabulary and
+tokens with the merge table, finds each word's leftmost pair of least rank, contracts it, and
+ends when no word has a pair left. Decoding joins token rows with the vocabulary and
 aggregates their bytes in order of position.
 
 The merge table holds every (left, right) of tokens whose bytes joined are a token; the rank
-of that token is the rank of the pair. Where no merge with a token can rank below the token
-itself (true of all but a few tokens of a rank file, and computed, not assumed), all
-occurrences of the least pair that don't overlap are contracted in one step, since
-contracting the leftmost one first cannot change what becomes of the others.
+of that token is the rank of the pair.
+
+A word of over ``WINDOW`` bytes is given to the query as windows that overlap by half. Tokens
+are those of the whole word just where each pair of neighbours, encoded alone, stays as it is
+(a contraction inside a stretch happens in the stretch alone as well, as long as none has
+crossed its ends). So windows are joined where both have a boundary with an equal token
+beside it; where they have none, a window is started at a boundary of what is known, and
+enlarged until they meet. The work is in proportion to the length of the word.
 
 Documents are never shuffled. A worker keeps at most ``MEMO`` encoded words and hands DuckDB
 at most ``BATCH_BYTES`` of new words or ``BATCH_TOKENS`` tokens at once; longer texts go
@@ -27,11 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Memo, append
+from .common import Memo, append, worker_model
 
-MEMO = 500_000
-LONG = 48
+MEMO = 1_000_000
+WINDOW = 256
+#: Words up to this go to the query apart from longer ones, which take more steps.
+SHORT = 32
 BATCH_BYTES = 1 << 18
+#: Rows that a query gathers: a word of n bytes has up to n * n / 2.
+BATCH_ROWS = 1 << 22
 BATCH_TOKENS = 1 << 18
 
 #: Letters of one code block: here \\w, \\s and \\p classes of all engines agree.
@@ -46,7 +54,7 @@ PLAIN = {
 
 #: A row is (word, position, position and token of its right neighbour, token). The row right
 #: of the contracted pair takes its left row's place; words without a pair left are done.
-_SHORT = """
+_ENCODE = """
 WITH RECURSIVE state(w, pos, nxt_pos, tok, nxt, done) AS (
     SELECT w, pos, pos + 1, tok, nxt, false FROM start
     UNION ALL
@@ -65,36 +73,7 @@ WITH RECURSIVE state(w, pos, nxt_pos, tok, nxt, done) AS (
 SELECT w, tok FROM state WHERE done ORDER BY w, pos
 """
 
-#: For long words: all occurrences of the least pair at once, and a state that is overwritten
-#: by key instead of gathered, so memory stays in proportion to the words. Token -1 is gone.
-_LONG = """
-WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
-    SELECT w, pos, tok FROM start
-    UNION
-    (
-        WITH pairs AS (
-            SELECT w, pos, tok, lead(tok) OVER word AS nxt, row_number() OVER word AS i
-            FROM recurring.state WHERE tok >= 0 WINDOW word AS (PARTITION BY w ORDER BY pos)
-        ), ranked AS (
-            SELECT p.*, m.id, m.solo FROM pairs p LEFT JOIN merges m ON m.pair = p.tok * 131072::BIGINT + p.nxt
-        ), least AS (
-            SELECT w, min(id) AS best FROM ranked GROUP BY w HAVING min(id) IS NOT NULL
-        ), hits AS (
-            SELECT r.*, best, coalesce(r.id = best, false) AS hit FROM ranked r JOIN least USING (w)
-        ), runs AS (
-            SELECT *, i - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS run FROM hits
-        ), apart AS (
-            SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, run ORDER BY pos)) % 2 = 1 AS free FROM runs
-        ), taken AS (
-            SELECT *, free AND (NOT solo OR pos = min(pos) FILTER (free) OVER (PARTITION BY w)) AS take FROM apart
-        )
-        SELECT w, pos, CASE WHEN take THEN best WHEN lag(take) OVER (PARTITION BY w ORDER BY pos) THEN -1 ELSE tok END FROM taken
-    )
-)
-SELECT w, tok FROM state WHERE tok >= 0 ORDER BY w, pos
-"""
-
-_DECODE = "SELECT doc, string_agg(v.txt, '' ORDER BY pos) AS txt FROM ids JOIN vocab v ON v.id = ids.id GROUP BY doc"
+_DECODE = "SELECT doc, array_to_string(list(v.txt ORDER BY pos), '') AS txt FROM ids JOIN vocab v ON v.id = ids.id GROUP BY doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -116,50 +95,90 @@ class Codec:
         ranks = read_ranks(path)
         triples = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, joined = (np.array(c, dtype=np.int32) for c in zip(*triples, strict=True))
-        early = np.isin(joined, np.concatenate([left[joined < left], right[joined < right]]))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        merges = pa.table({"pair": left.astype(np.int64) * 131072 + right, "id": joined, "solo": early})  # noqa: F841
+        merges = pa.table({"pair": left.astype(np.int64) * 131072 + right, "id": joined})  # noqa: F841
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "txt": [t.decode("latin-1") for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         self.memo = Memo(self._learn, MEMO)
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Encodings of words not met before, ``BATCH_BYTES`` of them at once."""
+    def _query(self, some: list[bytes]) -> list[bytes]:
+        """Encodings of stretches of bytes, all in one query."""
         import pyarrow as pa
 
-        out: dict[str, bytes] = {}
-        new = sorted(words, key=lambda w: (len(w) > LONG, w))
-        at = 0
-        while at < len(new):
-            size, end, long = 0, at, len(new[at]) > LONG
-            while end < len(new) and (end == at or size < BATCH_BYTES) and (len(new[end]) > LONG) == long:
-                size += len(new[end])
-                end += 1
-            some = [w.encode() for w in new[at:end]]
-            sizes = np.array([len(w) for w in some])
-            tok = self.byte_id[np.frombuffer(b"".join(some), dtype=np.uint8)]
-            stops = np.cumsum(sizes)
-            nxt = np.append(tok[1:], -1).astype(np.int32)
-            nxt[stops - 1] = -1
-            self.db.register("start", pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": (np.arange(len(tok)) - np.repeat(stops - sizes, sizes)).astype(np.int32), "tok": tok, "nxt": nxt}))
-            got = self.db.sql(_LONG if long else _SHORT).to_arrow_table()
-            self.db.unregister("start")
-            whose, ids = got.column("w").to_numpy(), got.column("tok").to_numpy().astype("<u4")
-            first = np.flatnonzero(np.diff(whose, prepend=-1))
-            raw = ids.tobytes()
-            for w, a, b in zip(whose[first].tolist(), (4 * first).tolist(), (4 * np.append(first[1:], len(whose))).tolist(), strict=True):
-                out[new[at + w]] = raw[a:b]
-            at = end
-        return [out[w] for w in words]
+        sizes = np.array([len(w) for w in some])
+        tok = self.byte_id[np.frombuffer(b"".join(some), dtype=np.uint8)]
+        stops = np.cumsum(sizes)
+        nxt = np.append(tok[1:], -1).astype(np.int32)
+        nxt[stops - 1] = -1
+        self.db.register("start", pa.table({"w": np.repeat(np.arange(len(some), dtype=np.int32), sizes), "pos": (np.arange(len(tok)) - np.repeat(stops - sizes, sizes)).astype(np.int32), "tok": tok, "nxt": nxt}))
+        got = self.db.sql(_ENCODE).to_arrow_table()
+        self.db.unregister("start")
+        cuts = (4 * np.searchsorted(got.column("w").to_numpy(), np.arange(len(some) + 1))).tolist()
+        raw = got.column("tok").to_numpy().astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _encoded(self, some: list[bytes]) -> list[bytes]:
+        """Encodings of stretches, ``BATCH_BYTES`` or ``BATCH_ROWS`` of them at once."""
+        out: list[bytes] = []
+        batch, size, rows = [], 0, 0
+        for w in some:
+            if batch and (size + len(w) > BATCH_BYTES or rows + len(w) * len(w) // 2 > BATCH_ROWS):
+                out += self._query(batch)
+                batch, size, rows = [], 0, 0
+            batch.append(w)
+            size += len(w)
+            rows += len(w) * len(w) // 2
+        return out + (self._query(batch) if batch else [])
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Encodings of words not met before."""
+        raw = [w.encode() for w in words]
+        made: dict[int, bytes] = {}
+        for some in ([i for i, w in enumerate(raw) if len(w) <= SHORT], [i for i, w in enumerate(raw) if SHORT < len(w) <= WINDOW]):
+            made.update(zip(some, self._encoded([raw[i] for i in some]), strict=True))
+        return [made[i] if i in made else self._long(w) for i, w in enumerate(raw)]
+
+    def _long(self, raw: bytes) -> bytes:
+        """The encoding of a word of more than ``WINDOW`` bytes, from windows."""
+        starts = range(0, len(raw) - WINDOW // 2, WINDOW // 2)
+        windows = [np.frombuffer(x, "<u4") for x in self._encoded([raw[a : a + WINDOW] for a in starts])]
+        ids = windows[0]
+        ends = np.cumsum(self.length[ids])
+        for start, window in zip(starts[1:], windows[1:], strict=True):
+            stop, size = min(start + WINDOW, len(raw)), WINDOW
+            while ends[-1] < stop:
+                joined = self._joined(ids, ends, window, start)
+                if joined is not None:
+                    ids = joined
+                    ends = np.cumsum(self.length[ids])
+                    continue
+                k = int(np.searchsorted(ends, ends[-1] - size // 2, "right"))
+                start = int(ends[k - 1]) if k else 0
+                window = np.frombuffer(self._query([raw[start : start + size]])[0], "<u4")
+                size *= 2
+        return ids.tobytes()
+
+    def _joined(self, ids: np.ndarray, ends: np.ndarray, window: np.ndarray, start: int) -> np.ndarray | None:
+        """Tokens of a word's beginning and of a window at ``start`` as one, if they meet and the window reaches further."""
+        theirs = start + np.cumsum(self.length[window])
+        if theirs[-1] <= ends[-1] or start == 0:
+            return None if start else window
+        first = int(np.searchsorted(ends, start, "right"))
+        _, i, j = np.intersect1d(ends[first:-1], theirs[:-1], assume_unique=True, return_indices=True)
+        i = i + first
+        for k in np.flatnonzero((ids[i] == window[j]) | (ids[i + 1] == window[j + 1]))[:1]:
+            return np.concatenate([ids[: i[k] + 1], window[j[k] + 1 :]])
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
-        distinct = list({w for ws in cut for w in ws})
-        known = dict(zip(distinct, self.memo.of(distinct), strict=True))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        self.memo.learn(set().union(*cut))
+        return [b"".join(map(self.memo.get, ws)) for ws in cut]
 
     def decode(self, encoded: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(index, bytes) of each run of ids; an encoding over ``BATCH_TOKENS`` comes in pieces, in order."""
@@ -187,14 +206,8 @@ class Codec:
             yield from run(jobs)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One for each worker process: its words outlive a task."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return worker_model(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:

@@ -91,29 +91,45 @@ def append(df: DataFrame, fields: str, fn, drop: tuple[str, ...] = ()) -> DataFr
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *new.fields]))
 
 
-class Memo(dict):
-    """What a worker remembers of words, at most ``limit`` of them.
+class Memo:
+    """What a worker remembers of words, about ``limit`` of them.
 
     Two generations: the younger fills up to half of the limit, then takes the place of the
     older; a word still in use moves from the older to the younger. ``make`` is given a list
-    of words not met before and returns their values.
+    of words not met before and returns their values. After ``learn(words)``, ``get`` has all of them.
     """
 
     def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.half, self.older = make, limit // 2, {}
+        self.make, self.half, self.younger, self.older = make, limit // 2, {}, {}
+        self.get = self.younger.__getitem__
+
+    def learn(self, words: set) -> None:
+        new = words.difference(self.younger)
+        if not new:
+            return
+        if len(self.younger) + len(new) > self.half:
+            self.older, self.younger, new = self.younger, {}, words
+            self.get = self.younger.__getitem__
+        again = self.older.keys() & new
+        self.younger.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        todo = list(new - again)
+        if todo:
+            self.younger.update(zip(todo, self.make(todo), strict=True))
 
     def of(self, words: list) -> list:
-        try:
-            return [self[w] for w in words]
-        except KeyError:
-            pass
-        wanted = set(words)
-        if len(self) + len(wanted) > self.half:
-            self.older = dict(self)
-            self.clear()
-        older = self.older
-        self.update({w: older[w] for w in wanted if w not in self and w in older})
-        new = [w for w in wanted if w not in self]
-        self.update(zip(new, self.make(new), strict=True))
-        return [self[w] for w in words]
+        self.learn(set(words))
+        return list(map(self.get, words))
+
+
+_MODEL: dict = {}
+
+
+def worker_model(key, make):
+    """The model named ``key`` of this worker process, made where it isn't there yet.
+
+    It outlives a task. A process keeps one model only: that of the operator it works for.
+    """
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]

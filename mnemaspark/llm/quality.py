@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, append, without
+from .common import Memo, append, without, worker_model
 
 BITS = 18
 MAX_LABELLED = 16_000
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[
     def features(batches):
         import pyarrow as pa
 
-        hasher = Hasher()
+        hasher = worker_model("words", Hasher)
         for b in batches:
             draw, ids, label, text = (b.column(i).to_pylist() for i in range(4))
             at, value = zip(*map(hasher, text), strict=True) if text else ((), ())
@@ -120,16 +120,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``. Null and empty texts get the bias alone."""
     weights, bias = model
     weights = weights.astype(np.float32)
-    hashers: list[Hasher] = []
 
     def run(batch):
         import pyarrow as pa
 
-        if not hashers:
-            hashers.append(Hasher())
+        hasher = worker_model("words", Hasher)
         out = []
         for text in batch.column(batch.schema.get_field_index("text")):
-            at, value = hashers[0](text.as_py())
+            at, value = hasher(text.as_py())
             out.append(float(weights[at] @ value) + bias)
         return [pa.array(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -35, 35))), pa.float64())]
 
