@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Stage
+from .common import Memo, Stage, worker_model
 from .tokenfile import Reader, Writer
 
 MEMO = 800_000
@@ -55,7 +55,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = f"<u{width}"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda _: None
+        self.model = self.tokenizer.model
+        self.names = [i.to_bytes(width, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         parts = json.loads(self.tokenizer.to_str())
         fast = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _PRE_TOKENIZER
         self.pieces = Memo(self._pieces, MEMO) if fast else None
@@ -65,26 +68,29 @@ class Encoder:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        model = self.tokenizer.model
-        return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))], dtype=self.kind).tobytes() for w in words]
-
-    def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        if any(s in text for s in self.special):
-            return self._stretches([text])[0]
-        if self.pieces is not None and _SIMPLE(text):
-            return b"".join(self.pieces.of(_CUT(text.lower())))
-        return b"".join(self.stretches.of(_SPACES.split(text)))
-
-
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+        tokenize, names = self.model.tokenize, self.names
+        return [b"".join([names[t.id] for t in tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))]) for w in words]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes. New words of all texts are learnt at once."""
+        out: list = list(texts)
+        simple, other = [], []
+        for i, t in enumerate(texts):
+            if self.special(t):
+                out[i] = self._stretches([t])[0]
+            else:
+                (simple if self.pieces is not None and _SIMPLE(t) else other).append(i)
+        for own, memo, cut in ((simple, self.pieces, lambda t: _CUT(t.lower())), (other, self.stretches, _SPACES.split)):
+            words = [cut(texts[i]) for i in own]
+            if own:
+                memo.learn(set().union(*words))
+            for i, ws in zip(own, words, strict=True):
+                out[i] = b"".join(map(memo.get, ws))
+        return out
 
 
 def encoder(path: str, width: int) -> Encoder:
-    """One for each worker process: its words outlive a task."""
-    if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = Encoder(path, width)
-    return _ENCODERS[path, width]
+    return worker_model(("tokens", path, width), lambda: Encoder(path, width))
 
 
 def _fs(uri: str):
@@ -114,12 +120,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, width
         target, where = _fs(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for docs_, texts in _pieces(b):
                 if writer is None:
                     target.create_dir(where, recursive=True)
                     sink = target.open_output_stream(f"{where}/{name}", compression=None)
                     writer = Writer(sink, width)
-                writer.add(doc, encode(text.as_py()) + end)
+                for doc, ids in zip(docs_, encode(texts), strict=True):
+                    writer.add(doc, ids + end)
         if writer is not None:
             total = writer.close()
             sink.close()
@@ -128,6 +135,20 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 1, width
     return ordered.mapInArrow(run, "part long, file string, n_docs long, n_tokens long")
 
 
+def _pieces(batch, chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts of a batch, about ``chars`` characters at once."""
+    ids, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc)
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def open_file(uri: str) -> Reader:
     target, where = _fs(uri)
     source = target.open_input_file(where)
