@@ -20,12 +20,11 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     both = stage.write(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{name}-edges")
     labels = stage.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), f"{name}-0")
     for i in range(1, ROUNDS):
-        seen = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
-        least = labels.union(seen).groupBy("node").agg(F.min("component").alias("component"))
-        old = labels.select("node", F.col("component").alias("old"))
+        seen = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        least = labels.select("node", "component", F.col("component").alias("old")).union(seen).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = least.join(jump, F.col("component") == F.col("at"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        new = stage.write(new.join(old, "node"), f"{name}-{i}")
+        new = least.join(jump, F.col("component") == F.col("at"), "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old")
+        new = stage.write(new, f"{name}-{i}")
         changed = new.filter("component <> old").limit(1).count()
         labels = new.select("node", "component")
         if i > 1:

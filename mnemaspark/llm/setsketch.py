@@ -78,3 +78,18 @@ def similarity(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
         left = likelihood(x) > likelihood(y)
         lo, hi = np.where(left, lo, x), np.where(left, y, hi)
     return (lo + hi) / 2
+
+
+def at_least(least: float, u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
+    """Which pairs have ``similarity`` >= least.
+
+    The likelihood is concave, so its maximum lies at ``least`` or above just where it doesn't fall there.
+    """
+    up, down = (u > v).sum(axis=1), (u < v).sum(axis=1)
+    even = M - up - down
+    a, b = nu / (nu + nv), nv / (nu + nv)
+    x, y = a - b * least, b - a * least
+    p, q = _p(np.maximum(x, 1e-12)), _p(np.maximum(y, 1e-12))
+    slope = lambda z: (B - 1) / B / (1 - z * (B - 1) / B) / np.log(B)
+    dp, dq = -b * slope(x), -a * slope(y)
+    return (x > 0) & (y > 0) & (up * dp / p + down * dq / q - even * (dp + dq) / np.clip(1 - p - q, 1e-12, 1) >= 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import WINDOW
 from .embdedup import THRESHOLD
-from .neardup import DENOMINATOR, NUMERATOR, WORDS
+from .neardup import WORDS, Rule
 from .secrets import BASE, RULES
 
 SQL: dict[str, str] = {}
@@ -51,7 +51,7 @@ SQL["op8_minhash_dedup"] = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_
     sh AS (SELECT DISTINCT id, array_to_string(w[p:p + {WORDS - 1}], ' ') AS s FROM d, range(1, greatest(1, len(w) - {WORDS - 1}) + 1) r(p) WHERE len(w) > 0),
     n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
     common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
-    links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE {DENOMINATOR} * c >= {NUMERATOR} * (x.n + y.n - c)), {_components('d', 'links')}
+    links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE {Rule().denominator} * c >= {Rule().numerator} * (x.n + y.n - c)), {_components('d', 'links')}
     SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component AS component_id, id = component AS kept FROM parts LEFT JOIN n USING (id)"""
 
 

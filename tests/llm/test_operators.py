@@ -91,17 +91,48 @@ def test_near_dups(spark, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_dup_digest(docs).collect()}
     shingle = neardup.Shingler()
     sets = {i: set(shingle(t).tolist()) for i, t in text_rows(docs) if i is not None}
+    part = brute_components(sets)
+    for i in sets:
+        assert got[i] == (len(sets[i]), part[i], part[i] == i)
+    assert got[None][1:] == (None, True)
+    assert neardup.keep_one(docs).columns == docs.columns and neardup.near_dup_digest(docs.limit(0)).count() == 0
+
+
+def brute_components(sets, numerator=85, denominator=100):
     part = {i: i for i in sets}
     for _ in sets:
         for a in sets:
             for b in sets:
                 both = len(sets[a] & sets[b])
-                if sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+                if sets[a] and sets[b] and denominator * both >= numerator * len(sets[a] | sets[b]):
                     part[a] = part[b] = min(part[a], part[b])
-    for i in sets:
-        assert got[i] == (len(sets[i]), part[i], part[i] == i)
-    assert got[None][1:] == (None, True)
-    assert neardup.keep_one(docs).columns == docs.columns and neardup.near_dup_digest(docs.limit(0)).count() == 0
+    return part
+
+
+def test_near_dups_of_a_large_group(spark):
+    """Copies about the threshold of each other: buckets hold many components, and no link is lost.
+
+    Rows of one doc_id are one document, whose set is the least of theirs.
+    """
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choices(words, k=160)
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            own[rng.randrange(len(own))] = f"x{i}y{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    shingle = neardup.Shingler()
+    sets = {i: set(shingle(t).tolist()) for i, t in rows}
+    text = lambda a, n: " ".join(f"w{a + i}" for i in range(n))
+    odd = [(501, text(0, 30)), (502, text(100, 40)), (502, text(0, 30)), (502, None), (503, text(100, 40)), (None, text(0, 30)), (504, ""), (504, None)]
+    table = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(3)
+    got = neardup.link(table, Stage(spark, "group"), neardup.Rule(80, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in sets} == brute_components(sets, 80, 100)
+    assert sorted([tuple(r) for r in got if r["doc_id"] not in sets], key=str) == sorted(
+        [(501, 26, 501, True), (502, 36, 501, False), (502, 26, 501, False), (502, 0, 501, False), (503, 36, 503, True), (None, 26, None, True), (504, 0, 504, True), (504, 0, 504, True)], key=str
+    )
 
 
 def test_decontamination(spark, docs):
