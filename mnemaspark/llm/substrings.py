@@ -1,24 +1,28 @@
 """Exact substring dedup: bytes covered by a 50-byte string that starts in an earlier document.
 
-Suffixes are sorted by buckets, for a cover sample only. The sample is content-defined: of
-every 33 neighbouring 18-byte strings the least hash marks its place, so that each 50-byte
-string holds a sampled place, and equal strings hold it at the same distance. (A difference
-cover by position gives the same promise for matches of 50 bytes with 6 places in 31 at
-best; this one needs 2 in 34, and with either one a bucket is the suffixes of equal samples.)
-
-1. Every sampled place has a context: the at most 82 bytes that any 50-byte string around it
-   reaches. Places are dealt by the hash of their sample; ranks of contexts settle all long
-   ties at once: where a context is equal to one of an earlier document, all its
-   strings start there too, and nothing more is compared.
-2. What is left are first occurrences of different contexts in one bucket: around the ends of
-   repeated passages. Their contexts are fetched, and the suffixes of a bucket are ordered by
-   (distance from the sample, first 50 bytes), one bucket at a time, the earliest
-   document of each run of equal strings deciding. Buckets of more than ``HOT`` contexts are
-   not brought together: their strings are aggregated to their earliest document instead.
-3. Decided places go back to the texts, where they become removed bytes.
-
-Copies inside a batch are settled before anything is shuffled, so a passage that a third of
-all documents share sends one place for each batch.
+Suffixes are sorted blockwise, by way of a difference cover. Places whose number modulo
+``PERIOD`` is in ``COVER`` are the sample: any two places of any two documents meet the sample
+together after the same number of bytes, at most ``SPREAD``, so two equal 50-byte strings hold
+two sampled places at equal distances, with the same ``GRAM`` bytes after them. A bucket is the
+sampled suffixes that begin with the same ``GRAM`` bytes.
+
+1. The buckets are dealt into ``BLOCKS`` blocks, made one after another: a block's suffixes
+   are gathered, and its files are gone before the next one begins, so disk is bounded by a
+   block and memory by a part of one.
+2. Ranks of the cover sample settle long ties. A sampled place has a context, the at most 80
+   bytes that any 50-byte string around it reaches, and places of equal contexts have one rank
+   in their bucket. Where an earlier document has a place of the same rank, all strings
+   around the place start there too, and nothing more is compared.
+3. What is left are different ranks in one bucket: around the ends of repeated passages. Their
+   contexts are fetched and sorted, one bucket at a time, by (distance from the place, 50
+   bytes), the earliest document of each run of equal strings deciding. Buckets of more than
+   ``HOT`` contexts are not brought together: their strings are aggregated to their earliest
+   document instead.
+4. Decided places go back to the texts, where they become removed bytes.
+
+Places travel packed, by ``slot`` (a hash of the row they are in), and meet the texts slot by
+slot. Copies inside a batch are settled before anything is shuffled, so a passage that a
+third of all documents share sends one place for each batch.
 """
 
 from __future__ import annotations
@@ -32,14 +36,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, append
+from .common import Stage
 
 LENGTH = 50
-GRAM = 18
-SPREAD = LENGTH - GRAM  # a string around a sample starts at most this far before it
-WIDTH = LENGTH + SPREAD  # of a context
+#: A perfect difference set: every number but 0 is one difference of two members, modulo 31.
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
+SPREAD = PERIOD - 1  # a string around a place starts at most this far before it
+GRAM = LENGTH - SPREAD
+BLOCKS = 4
 PART_BYTES = 24 << 20
 CHUNK = 1 << 20
+HELD = 500_000
 HOT = 200_000
 
 _U = np.uint64
@@ -80,41 +87,39 @@ class Ranges:
         return (self.sums[size:] - self.sums[:n]) * Ranges.down[:n]
 
 
-def _slide(x: np.ndarray, size: int, fn) -> np.ndarray:
-    """fn over every ``size`` neighbours, by doubling."""
-    have, out = 1, x
-    while have * 2 <= size:
-        out = fn(out[:-have], out[have:])
-        have *= 2
-    return fn(out[: len(x) - size + 1], out[size - have : len(out)]) if have < size else out
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def sample(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, place in it, hash of its gram, hash of its context) of the sampled places.
+def sample(data: np.ndarray, ends: np.ndarray, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, ...]:
+    """(document, place in it, hash of its gram, hash of its context) of the sampled places of a block.
 
     ``data`` holds documents one after another, ``ends`` where each ends.
     """
-    none = np.array([], dtype=np.int64)
-    if len(data) < LENGTH:
-        return none, none, none.astype(_U), none.astype(_U)
     starts = np.concatenate([[0], ends[:-1]])
     size = ends - starts
+    doc = np.repeat(np.arange(len(ends)), np.where(size >= LENGTH, size - GRAM + 1, 0))
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    pos = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+    held = _IN_COVER[pos % PERIOD]
+    doc, pos = doc[held], pos[held]
     ranges = Ranges(data)
-    h = _mix(ranges.grams(GRAM))
-    # windows inside one document, each by its first place
-    inside = np.zeros(len(data) + 1, dtype=np.int8)
-    fits = size >= LENGTH
-    np.add.at(inside, starts[fits], 1)
-    np.add.at(inside, ends[fits] - LENGTH + 1, -1)
-    inside = np.cumsum(inside[: len(data) - LENGTH + 1]) > 0
-    least = np.where(inside, _slide(h, SPREAD + 1, np.minimum), _U(0))
-    pad = np.zeros(SPREAD, dtype=_U)
-    best = _slide(np.concatenate([pad, least, pad]), SPREAD + 1, np.maximum)
-    places = np.flatnonzero((best == h) & (h > 0))
-    doc = np.searchsorted(ends, places, "right")
-    a, b = np.maximum(starts[doc], places - SPREAD), np.minimum(ends[doc], places + LENGTH)
-    context = _mix(_mix(ranges(a, b)) + (places - a).astype(_U) * _U(128) + (b - places).astype(_U))
-    return doc, places - starts[doc], h[places], context
+    at = starts[doc] + pos
+    gram = _mix(ranges(at, at + GRAM))
+    if blocks > 1:
+        own = gram % _U(blocks) == _U(block)
+        doc, pos, at, gram = doc[own], pos[own], at[own], gram[own]
+    a, b = np.maximum(starts[doc], at - SPREAD), np.minimum(ends[doc], at + LENGTH)
+    context = _mix(_mix(ranges(a, b)) + (at - a).astype(_U) * _U(128) + (b - at).astype(_U))
+    return doc, pos, gram, context
+
+
+def _several(gram: np.ndarray) -> np.ndarray:
+    """Where ``gram`` holds a value that occurs more than once."""
+    sorted_ = np.sort(gram)
+    again = sorted_[1:][sorted_[1:] == sorted_[:-1]]
+    if not len(again):
+        return np.array([], dtype=np.int64)
+    return np.flatnonzero(again[np.minimum(np.searchsorted(again, gram), len(again) - 1)] == gram)
 
 
 def _chunks(batch) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
@@ -135,46 +140,59 @@ def _chunks(batch) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int
         yield np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), ids, rids
 
 
-_PACK = "part int, gram binary, ctx_high binary, ctx_low binary, place binary"
+_PACK = "part int, hashes binary, places binary"
+_SLOT = "slot int, kind int, data binary"
+#: Kinds of rows of a slot, in the order that they are read in: places where all strings are
+#: copies, places with a mask of strings that are, places to compare (with their gram), texts.
+COPIES, MASKS, ASKED, TEXT = range(4)
 
 
-def _sampled(rows: DataFrame, parts: int) -> DataFrame:
-    """Sampled places, packed by part. part -1 - p: places already known to be copies."""
+def _zip(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def _unzip(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
-    def run(batches):
-        import pyarrow as pa
 
-        zip_ = zstandard.ZstdCompressor(level=1)
+def _sampled(rows: DataFrame, parts: int, block: int) -> DataFrame:
+    """Sampled places of a block, packed by part. part -1 - p: places already known to be copies."""
 
-        def packed(part, at, doc, rid, pos, gram, ctx):
-            order = at[np.lexsort((pos[at], rid[at]))]
-            place = np.concatenate([doc[order].view(np.uint8), rid[order].view(np.uint8), pos[order].astype(np.int32).view(np.uint8)]).tobytes()
-            known = part < 0
-            return part, b"" if known else gram[order].tobytes(), b"" if known else (ctx[order] >> _U(32)).astype(np.uint32).tobytes(), b"" if known else ctx[order].astype(np.uint32).tobytes(), zip_.compress(place)
+    def run(batches):
+        import pyarrow as pa
 
         def flush(held):
             doc, rid, pos, gram, ctx = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((doc, ctx, gram))
-            same = np.zeros(len(order), dtype=bool)
-            g, c = gram[order], ctx[order]
-            same[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            copy = doc[order] > doc[order][first]
-            out = [packed(-1 - int(gram[0] % _U(parts)), order[copy], doc, rid, pos, gram, ctx)] if copy.any() else []
-            left = np.sort(order[~copy])
-            part = ((gram[left] >> _U(20)) % _U(parts)).astype(np.int64)
+            copy = np.zeros(len(doc), dtype=bool)
+            some = _several(gram)
+            if len(some):
+                order = some[np.lexsort((doc[some], ctx[some], gram[some]))]
+                new = np.append(True, (gram[order][1:] != gram[order][:-1]) | (ctx[order][1:] != ctx[order][:-1]))
+                copy[order] = doc[order] > doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            out = []
+            if copy.any():
+                out.append((-1 - int(gram[0] % _U(parts)), b"", _zip(rid[copy], pos[copy])))
+            left = np.flatnonzero(~copy)
+            part = ((gram[left] >> _U(20)) % _U(parts)).astype(np.int32)
             by = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
-            out += [packed(int(part[by[a]]), left[by[a:b]], doc, rid, pos, gram, ctx) for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "gram", "ctx_high", "ctx_low", "place"])
+            for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+                own = left[by[a:b]]
+                out.append((int(part[by[a]]), gram[own].tobytes() + ctx[own].tobytes(), _zip(doc[own], rid[own], pos[own])))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "hashes", "places"])
 
         held, size = [], 0
         for b in batches:
             for data, ends, ids, rids in _chunks(b):
-                doc, pos, gram, ctx = sample(data, ends)
-                held.append((np.array(ids)[doc], np.array(rids)[doc], pos, gram, ctx))
+                doc, pos, gram, ctx = sample(data, ends, block, BLOCKS)
+                held.append((np.array(ids)[doc], np.array(rids)[doc], pos.astype(np.int32), gram, ctx))
                 size += len(doc)
-                if size > 500_000:
+                if size > HELD:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -183,262 +201,326 @@ def _sampled(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _PACK)
 
 
-def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(raw) // 20
-    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)
-
+def _by_slot(slots: int, kind: int, rid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    slot = (rid % slots).astype(np.int32)
+    order = np.lexsort((rid, slot))
+    cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        own = order[a:b]
+        yield int(slot[own[0]]), kind, _zip(rid[own], *(c[own] for c in columns))
 
-_FOUND = "rid long, doc_id long, copies binary, asked binary, grams binary"
 
+def _slot_batch(rows: list[tuple]):
+    import pyarrow as pa
 
-def _by_row(rid, doc, pos, ask, gram) -> Iterator[tuple]:
-    """A row for each document with the places decided and the places asked about."""
-    order = np.lexsort((pos, rid))
-    rid, doc, pos, ask, gram = rid[order], doc[order], pos[order].astype("<i4"), ask[order], gram[order]
-    cuts = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1)) if len(rid) else []
-    for a, b in zip(cuts, np.append(cuts[1:], len(rid)) if len(rid) else [], strict=True):
-        wanted = ask[a:b]
-        yield int(rid[a]), int(doc[a]), pos[a:b][~wanted].tobytes(), pos[a:b][wanted].tobytes(), gram[a:b][wanted].tobytes()
+    slot, kind, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["slot", "kind", "data"])
 
 
-def _ranked(packed: DataFrame, parts: int) -> DataFrame:
-    """Per document: places whose context an earlier document has, and those still to compare."""
+def _ranked(packed: DataFrame, parts: int, slots: int) -> DataFrame:
+    """Places whose rank an earlier document has, and those still to compare, packed by slot."""
 
     def run(batches):
-        import pyarrow as pa
-
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["rid", "doc_id", "copies", "asked", "grams"]
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
         def rows():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-        held: list[tuple] = []
         for part, own in groupby(rows(), key=lambda r: r[0]):
             if part < 0:
-                for r in own:
-                    doc, rid, pos = _places(r[4])
-                    held += _by_row(rid, doc, pos, np.zeros(len(pos), bool), np.zeros(len(pos), _U))
-                    if len(held) > 5000:
-                        yield out(held)
-                        held = []
+                known = [_unzip(r[2], "i8", "i4") for r in own]
+                yield _slot_batch(list(_by_slot(slots, COPIES, *map(np.concatenate, zip(*known, strict=True)))))
                 continue
-            gram, ctx, place = [], [], []
+            hashes, places = [], []
             for r in own:
-                gram.append(np.frombuffer(r[1], _U))
-                ctx.append((np.frombuffer(r[2], np.uint32).astype(_U) << _U(32)) | np.frombuffer(r[3], np.uint32))
-                place.append(_places(r[4]))
-            gram, ctx = np.concatenate(gram), np.concatenate(ctx)
-            doc, rid, pos = (np.concatenate(c) for c in zip(*place, strict=True))
-            order = np.lexsort((doc, ctx, gram))
+                hashes.append(np.frombuffer(r[1], _U).reshape(2, -1))
+                places.append(_unzip(r[2], "i8", "i8", "i4"))
+            gram, ctx = np.concatenate(hashes, axis=1)
+            doc, rid, pos = map(np.concatenate, zip(*places, strict=True))
+            del hashes, places
+            some = _several(gram)
+            if not len(some):
+                continue
+            order = some[np.lexsort((doc[some], ctx[some], gram[some]))]
             g, c, d = gram[order], ctx[order], doc[order]
             new_gram = np.append(True, g[1:] != g[:-1])
-            new_ctx = new_gram | np.append(True, c[1:] != c[:-1])
-            at = np.arange(len(g))
+            new_rank = new_gram | np.append(True, c[1:] != c[:-1])
+            first = np.flatnonzero(new_gram)
             bucket = np.cumsum(new_gram) - 1
-            contexts = np.bincount(bucket, weights=new_ctx)[bucket]
-            copy = d > d[np.maximum.accumulate(np.where(new_ctx, at, 0))]
-            # of several contexts in a bucket, all of one document alone have nothing to fear
-            low, high = np.minimum.reduceat(d, np.flatnonzero(new_gram))[bucket], np.maximum.reduceat(d, np.flatnonzero(new_gram))[bucket]
-            ask = ~copy & (contexts > 1) & (low < high)
-            keep = order[copy | ask]
-            held += _by_row(rid[keep], doc[keep], pos[keep], ask[copy | ask], gram[keep])
-            for i in range(0, len(held), 5000):
-                yield out(held[i : i + 5000])
-            held = []
-        if held:
-            yield out(held)
-
-    return packed.repartition(parts, F.abs("part")).sortWithinPartitions("part").mapInArrow(run, _FOUND)
-
-
-def _contexts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+            ranks = np.add.reduceat(new_rank.astype(np.int64), first)[bucket]
+            copy = d > d[np.maximum.accumulate(np.where(new_rank, np.arange(len(g)), 0))]
+            # of several ranks in a bucket, all of one document alone have nothing to fear
+            ask = ~copy & (ranks > 1) & (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[bucket]
+            out = list(_by_slot(slots, COPIES, rid[order[copy]], pos[order[copy]])) if copy.any() else []
+            if ask.any():
+                out += _by_slot(slots, ASKED, rid[order[ask]], pos[order[ask]], g[ask])
+            if out:
+                yield _slot_batch(out)
+
+    return packed.repartition(parts, F.abs("part")).sortWithinPartitions("part").mapInArrow(run, _SLOT)
+
+
+class Places:
+    """What is known of the rows of a slot: (rid, pos, further column) by kind."""
+
+    FIELDS = {COPIES: ("i8", "i4"), MASKS: ("i8", "i4", "i8"), ASKED: ("i8", "i4", "i8")}
+
+    def __init__(self, packed: list[tuple[int, bytes]]):
+        self.by: dict[int, list[np.ndarray]] = {}
+        for kind in {k for k, _ in packed}:
+            columns = [np.concatenate(c) for c in zip(*[_unzip(d, *self.FIELDS[kind]) for k, d in packed if k == kind], strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            self.by[kind] = [c[order] for c in columns]
+
+    def of(self, kind: int, rid: int) -> list[np.ndarray]:
+        if kind not in self.by:
+            return [np.array([], dtype=k) for k in self.FIELDS[kind][1:]]
+        columns = self.by[kind]
+        a, b = np.searchsorted(columns[0], [rid, rid + 1]) if rid < 2**63 - 1 else (np.searchsorted(columns[0], rid), len(columns[0]))
+        return [c[a:b] for c in columns[1:]]
+
+
+def _beside(rows: DataFrame, packed: DataFrame, parts: int, slots: int) -> DataFrame:
+    """Rows (with a column op7_rid) and packed places, slot by slot, the places first."""
+    texts = rows.withColumn("op7_slot", F.pmod("op7_rid", F.lit(slots)).cast("int")).withColumn("op7_kind", F.lit(TEXT))
+    known = packed.select(F.col("slot").alias("op7_slot"), F.col("kind").alias("op7_kind"), F.col("data").alias("op7_data"))
+    return texts.unionByName(known, allowMissingColumns=True).repartition(parts, "op7_slot").sortWithinPartitions("op7_slot", "op7_kind", "op7_rid")
+
+
+def _with_places(batches) -> Iterator[tuple]:
+    """(batch of rows with texts, Places) of ``_beside``."""
+    slot, held, places = None, [], None
+    for b in batches:
+        slots, kinds = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("op7_slot", "op7_kind"))
+        data = b.column(b.schema.get_field_index("op7_data"))
+        text = kinds == TEXT
+        cuts = np.flatnonzero(np.append(True, (slots[1:] != slots[:-1]) | (text[1:] != text[:-1]))).tolist() if len(slots) else []
+        for a, z in zip(cuts, [*cuts[1:], len(slots)], strict=True):
+            if slots[a] != slot:
+                slot, held, places = slots[a], [], None
+            if not text[a]:
+                held += zip(kinds[a:z].tolist(), data.slice(a, z - a).to_pylist(), strict=True)
+                continue
+            if places is None:
+                places, held = Places(held), []
+            yield b.slice(a, z - a), places
+
+
+def _contexts(rows: DataFrame, found: DataFrame, parts: int, slots: int) -> DataFrame:
     """(gram, rid, doc_id, pos, before, context) of the places asked about."""
-    wanted = asked.filter(F.length("asked") > 0).groupBy("rid").agg(F.collect_list("asked").alias("asked"), F.collect_list("grams").alias("grams"))
-    with_text = rows.dropDuplicates(["rid"]).join(wanted.withColumnRenamed("rid", "op7_rid"), F.col("rid") == F.col("op7_rid")).select("rid", "doc_id", "text", "asked", "grams")
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        last = None
+        for b, places in _with_places(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for rid, doc, text, asked, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                raw = text.as_py().encode()
-                gram = np.frombuffer(b"".join(grams), np.int64)
-                for p, g in zip(np.frombuffer(b"".join(asked), "<i4").tolist(), gram.tolist(), strict=True):
-                    a = max(0, p - SPREAD)
-                    for column, x in zip(out, (g, rid, doc, p, p - a, raw[a : p + LENGTH]), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "rid", "doc_id", "pos", "before", "context"])
-
-    return with_text.mapInArrow(run, "gram long, rid long, doc_id long, pos int, before int, context binary")
-
-
-def _strings(before: np.ndarray, contexts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each distance from the sample: (distance, which contexts reach it, hashes of their 50 bytes)."""
-    size = np.array([len(c) for c in contexts])
-    ends = np.cumsum(size)
-    ranges = Ranges(np.frombuffer(b"".join(contexts), np.uint8))
-    first = ends - size
+            for doc, rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                pos, gram = places.of(ASKED, rid)
+                if rid == last or not len(pos):
+                    continue
+                last, raw, n = rid, text.as_py().encode(), len(pos)
+                a = np.maximum(pos - SPREAD, 0)
+                for column, x in zip(out, (gram, np.full(n, rid), np.full(n, doc), pos, pos - a), strict=False):
+                    column.append(x)
+                out[5].extend([raw[i:j] for i, j in zip(a.tolist(), (pos + LENGTH).tolist(), strict=True)])
+            if out[5]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:5]), pa.array(out[5], pa.binary())], names=["gram", "rid", "doc_id", "pos", "before", "context"])
+
+    both = _beside(rows, found.filter(f"kind = {ASKED}"), parts, slots)
+    return both.mapInArrow(run, "gram long, rid long, doc_id long, pos int, before int, context binary")
+
+
+def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one value after another, and the sizes of its values."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _strings(before: np.ndarray, data: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each distance from the place: (distance, which contexts reach it, where its 50 bytes start, their hashes)."""
+    first = np.cumsum(size) - size
+    ranges = Ranges(data)
     for back in range(SPREAD + 1):
         has = np.flatnonzero((before >= back) & (before - back + LENGTH <= size))
         if len(has):
             a = first[has] + before[has] - back
-            yield back, has, _mix(ranges(a, a + LENGTH))
+            yield back, has, a, _mix(ranges(a, a + LENGTH))
 
 
-def _compared(contexts: DataFrame, parts: int) -> DataFrame:
-    """(rid, pos, mask): bit i of mask: the string that starts i bytes before pos starts in an earlier document."""
+def _in_order(data: np.ndarray, at: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal 50-byte strings together, earlier ones first, and where another string begins.
 
-    def run(batches):
-        import pyarrow as pa
+    Strings are sorted by hash and neighbours of equal hash compared; if any differ, by their bytes.
+    """
+    order = np.argsort(name, kind="stable")
+    new = np.append(True, name[order][1:] != name[order][:-1])
+    same = np.flatnonzero(~new)
+    around = np.arange(LENGTH)
+    if len(same) and (data[at[order[same]][:, None] + around] != data[at[order[same - 1]][:, None] + around]).any():
+        whole = np.ascontiguousarray(data[at[:, None] + around]).view(f"V{LENGTH}").ravel()
+        _, number = np.unique(whole, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        new = np.append(True, np.diff(number[order]) != 0)
+    return order, new
 
-        def block(rows):
-            gram, rid, doc, pos, before, context = zip(*rows, strict=True)
-            gram, doc, before = np.array(gram), np.array(doc), np.array(before)
-            mask = np.zeros(len(rows), dtype=np.int64)
-            for back, has, name in _strings(before, list(context)):
-                order = has[np.lexsort((doc[has], name, gram[has]))]
-                name = name[np.lexsort((doc[has], name, gram[has]))]
-                new = np.append(True, (name[1:] != name[:-1]) | (gram[order][1:] != gram[order][:-1]))
-                least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                mask[order[doc[order] > least]] |= np.int64(1) << np.int64(back)
+
+def _compared(contexts: DataFrame, parts: int, slots: int) -> DataFrame:
+    """Places with a mask, packed by slot; bit i: the string that starts i bytes before the place starts in an earlier document."""
+
+    def run(batches):
+        def block(held):
+            gram, rid, doc, pos, before = (np.concatenate([h[i] for h in held]) for i in range(5))
+            data, size = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
+            mask = np.zeros(len(gram), dtype=np.int64)
+            for back, has, at, name in _strings(before, data, size):
+                by_doc = np.argsort(doc[has], kind="stable")
+                has, at, name = has[by_doc], at[by_doc], name[by_doc]
+                order, new = _in_order(data, at, name)
+                own = doc[has[order]]
+                mask[has[order[own > own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]]]] |= np.int64(1) << np.int64(back)
             hit = np.flatnonzero(mask)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(rid)[hit]), pa.array(np.array(pos, dtype=np.int32)[hit]), pa.array(mask[hit])], names=["rid", "pos", "mask"])
+            return _slot_batch(list(_by_slot(slots, MASKS, rid[hit], pos[hit], mask[hit]))) if len(hit) else None
 
-        held: list[tuple] = []
-        last = None
+        held, size = [], 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != last and len(held) > 20_000:  # whole buckets
-                    yield block(held)
-                    held = []
-                last = r[0]
-                held.append(r)
-        if held:
-            yield block(held)
+            if not len(b):
+                continue
+            gram = b.column(0).to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))  # whole buckets end here
+            for a, z in ((0, cut), (cut, len(b))):
+                if a and size > 20_000 or z == len(b) and size > 20_000 and held[-1][0][-1] != gram[-1]:
+                    if (made := block(held)) is not None:
+                        yield made
+                    held, size = [], 0
+                if z > a:
+                    some = b.slice(a, z - a)
+                    held.append((*(some.column(i).to_numpy() for i in range(5)), *_bytes_of(some.column(5))))
+                    size += z - a
+        if held and (made := block(held)) is not None:
+            yield made
 
-    return contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "rid long, pos int, mask long")
+    return contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, _SLOT)
 
 
-def _compared_hot(contexts: DataFrame) -> DataFrame:
-    """The same for buckets too large to bring together, by aggregation over single strings."""
+def _compared_hot(contexts: DataFrame, slots: int) -> DataFrame:
+    """The same for buckets too large to bring together, by aggregation over single strings, named by their bytes."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            gram, rid, doc, pos, before = (b.column(i).to_numpy() for i in range(5))
-            if not len(gram):
+            if not len(b):
                 continue
-            for back, has, name in _strings(before, b.column(5).to_pylist()):
-                key = _mix(name ^ _mix(gram[has].astype(_U) + _U(back))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[has]), pa.array(rid[has]), pa.array(pos[has]), pa.array(np.full(len(has), 1 << back, np.int64))], names=["name", "doc_id", "rid", "pos", "bit"])
-
-    strings = contexts.mapInArrow(run, "name long, doc_id long, rid long, pos int, bit long")
-    least = strings.groupBy("name").agg(F.min("doc_id").alias("least"))
-    return strings.join(least, "name").filter("doc_id > least").groupBy("rid", "pos").agg(F.bit_or("bit").alias("mask"))
-
+            rid, doc, pos, before = (b.column(i).to_numpy() for i in range(1, 5))
+            data, size = _bytes_of(b.column(5))
+            for back, has, at, _ in _strings(before, data, size):
+                whole = data[at[:, None] + np.arange(LENGTH)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), back, np.int32)), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array(doc[has]), pa.array(rid[has]), pa.array(pos[has])], names=["back", "string", "doc_id", "rid", "pos"])
 
-def _marked(rows: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
-    """Every row with ``spans`` (binary): starts and ends of the bytes to remove, as int32 pairs."""
-    whole = found.filter(F.length("copies") > 0).select("rid", F.col("copies").alias("pos"), F.lit(None).cast("binary").alias("mask"))
+    strings = contexts.mapInArrow(run, "back int, string binary, doc_id long, rid long, pos int")
+    least = strings.groupBy("back", "string").agg(F.min("doc_id").alias("least"))
+    masks = strings.join(least, ["back", "string"]).filter("doc_id > least").groupBy("rid", "pos").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
 
     def pack(batches):
-        import pyarrow as pa
-
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p.to_bytes(4, "little") for p in b.column(1).to_pylist()], pa.binary()), pa.array([m.to_bytes(8, "little") for m in b.column(2).to_pylist()], pa.binary())], names=["rid", "pos", "mask"])
+            if len(b):
+                yield _slot_batch(list(_by_slot(slots, MASKS, *(b.column(i).to_numpy() for i in range(3)))))
+
+    return masks.select("rid", "pos", "mask").mapInArrow(pack, _SLOT)
 
-    some = parts.mapInArrow(pack, "rid long, pos binary, mask binary")
-    marks = whole.union(some).groupBy(F.col("rid").alias("op7_rid")).agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
-    return rows.join(marks, F.col("rid") == F.col("op7_rid"), "left").drop("op7_rid")
 
+def _removed(n: int, copies: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Boundaries (start, end, start, end ...) of the maximal removed runs of a text of n bytes.
 
-def _removed(n: int, marks: list[dict] | None) -> np.ndarray:
-    """Boundaries (start, end, start, end ...) of the maximal removed runs of a text of n bytes."""
-    if not marks:
+    All strings around ``copies`` go; of those around ``pos``, the ones that ``mask`` has a bit for.
+    """
+    if not len(copies) and not len(pos):
         return np.array([], dtype=np.int64)
     change = np.zeros(n + 1, dtype=np.int32)
-    for m in marks:
-        pos = np.frombuffer(m["pos"], "<i4").astype(np.int64)
-        if m["mask"] is None:
-            np.add.at(change, np.maximum(pos - SPREAD, 0), 1)
-            np.add.at(change, np.minimum(pos, n - LENGTH) + LENGTH, -1)
-        else:
-            mask = int.from_bytes(m["mask"], "little")
-            for back in range(SPREAD + 1):
-                if mask >> back & 1:
-                    change[pos[0] - back] += 1
-                    change[pos[0] - back + LENGTH] -= 1
+    copies = copies.astype(np.int64)
+    np.add.at(change, np.maximum(copies - SPREAD, 0), 1)
+    np.add.at(change, np.minimum(copies, n - LENGTH) + LENGTH, -1)
+    for back in range(SPREAD + 1) if len(pos) else ():
+        start = pos[(mask >> back) & 1 == 1].astype(np.int64) - back
+        np.add.at(change, start, 1)
+        np.add.at(change, start + LENGTH, -1)
     gone = np.cumsum(change) > 0
     return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
 
 
 def mark(docs: DataFrame, stage: Stage) -> DataFrame:
-    """rid, doc_id, text and marks of every row; ``cut`` gives the removed runs of a text.
+    """Every row of ``docs`` beside what is to be removed from it; ``removals`` reads the batches.
 
     Documents of equal doc_ids don't take from each other; rows without doc_id neither lose
-    nor take anything; texts under 50 bytes, empty and null ones lose nothing.
+    nor take anything; texts under 50 bytes, empty and null ones lose nothing. Columns that
+    begin with op7_ are not kept.
     """
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    rid = F.xxhash64("doc_id", "text").alias("op7_rid")
+    rows = docs.select("doc_id", rid, "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // PART_BYTES)
-    found = stage.write(_ranked(_sampled(rows, parts), parts), "found")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle just written out
-    contexts = stage.write(_contexts(rows, found), "contexts")
+    slots = 2 * parts
+    found = [stage.write(_ranked(_sampled(rows, parts, block), parts, slots), f"found-{block}") for block in range(BLOCKS)]
+    found = stage.spark.read.parquet(*[stage.path(f"found-{block}") for block in range(BLOCKS)]) if BLOCKS > 1 else found[0]
+    contexts = stage.write(_contexts(rows, found, parts, slots), "contexts")
     hot = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram")
-    compared = _compared(contexts.join(hot, "gram", "left_anti"), parts).union(_compared_hot(contexts.join(hot, "gram", "left_semi")))
-    compared = stage.write(compared, "compared")
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    return _marked(rows, found, compared)
+    masks = _compared(contexts.join(hot, "gram", "left_anti"), parts, slots).union(_compared_hot(contexts.join(hot, "gram", "left_semi"), slots))
+    masks = stage.write(masks, "masks")
+    stage.drop("contexts")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("op7_")], rid)
+    return _beside(kept, found.filter(f"kind = {COPIES}").union(masks), parts, slots)
+
+
+def removals(batches) -> Iterator[tuple]:
+    """(batch of rows, [(text or None, bytes of the text, boundaries of the removed runs)]) of ``mark``."""
+    for b, places in _with_places(batches):
+        out = []
+        for rid, text in zip(b.column(b.schema.get_field_index("op7_rid")).to_pylist(), b.column(b.schema.get_field_index("text")), strict=True):
+            raw = (text.as_py() or "").encode()
+            out.append((text, raw, _removed(len(raw), *places.of(COPIES, rid), *places.of(MASKS, rid))))
+        yield b, out
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     """The digest result: one row for each row of ``docs``."""
-    marked = mark(docs, Stage(docs.sparkSession, "op7")).select("doc_id", "text", "marks")
+    marked = mark(docs.select("doc_id", "text"), Stage(docs.sparkSession, "op7"))
 
-    def run(batch):
+    def run(batches):
         import pyarrow as pa
 
-        n, gone, spans, kept = [], [], [], []
-        for text, marks in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("marks")).to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode()
-            cuts = _removed(len(raw), marks)
-            hash_, at = hashlib.sha256(), 0
-            for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True):
-                hash_.update(raw[at:a])
-                at = b
-            hash_.update(raw[at:])
-            n.append(len(raw))
-            gone.append(int((cuts[1::2] - cuts[::2]).sum()))
-            spans.append(len(cuts) // 2)
-            kept.append(hash_.hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
+        for b, found in removals(batches):
+            n, gone, spans, kept = [], [], [], []
+            for _, raw, cuts in found:
+                hash_, at = hashlib.sha256(), 0
+                for a, z in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True):
+                    hash_.update(raw[at:a])
+                    at = z
+                hash_.update(raw[at:])
+                n.append(len(raw))
+                gone.append(int((cuts[1::2] - cuts[::2]).sum()))
+                spans.append(len(cuts) // 2)
+                kept.append(hash_.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return append(marked, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", run, ("text", "marks"))
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; a character of which a byte is cut goes whole."""
-    stage = Stage(docs.sparkSession, "substrings")
-    marks = mark(docs, stage).filter("marks is not null").select(F.col("rid").alias("op7_row"), F.col("marks").alias("op7_marks")).dropDuplicates(["op7_row"])
-    joined = docs.join(marks, F.xxhash64("doc_id", "text") == F.col("op7_row"), "left").drop("op7_row")
+    marked = mark(docs, Stage(docs.sparkSession, "substrings"))
+    names = [c for c in docs.columns if not c.startswith("op7_")]
 
-    def run(batch):
+    def run(batches):
         import pyarrow as pa
 
-        out = []
-        for text, found in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("op7_marks")).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            cuts = _removed(len(raw), found).tolist()
-            pieces = [raw[a:b] for a, b in zip([0, *cuts[1::2]], [*cuts[::2], len(raw)], strict=True)]
-            out.append(None if text is None else "".join(p.decode("utf-8", "ignore") for p in pieces))
-        return [pa.array(out, pa.string())]
-
-    return append(joined, "text string", run, ("op7_marks",)).select(*[f"`{c}`" for c in docs.columns])
+        for b, found in removals(batches):
+            out = []
+            for text, raw, cuts in found:
+                cuts = cuts.tolist()
+                pieces = [raw[a:z] for a, z in zip([0, *cuts[1::2]], [*cuts[::2], len(raw)], strict=True)]
+                out.append("".join(p.decode("utf-8", "ignore") for p in pieces) if text.is_valid else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in names], names=names)
+
+    from pyspark.sql import types as T
+
+    return marked.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))

@@ -78,7 +78,35 @@ def test_substrings(spark, docs):
         want.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     key = lambda r: (r[0] is None, r[0] or 0, r[4])
     assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
-    assert substrings.remove_repeats(docs).columns == docs.columns
+    cut = substrings.remove_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == docs.count() and cut.filter("text is null").count() == 1
+    assert substrings.substring_digest(docs.limit(0)).count() == 0
+
+
+def brute_removed(rows):
+    """(n_bytes, n_removed, n_spans) by doc_id, by a table of all 50-byte strings."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        out[i] = (len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
+    return out
+
+
+def test_substrings_of_long_texts_and_shifted_passages(spark):
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    passages = [noise(n) for n in (50, 51, 60, 81, 140, 400)]
+    rows = [(i, b"".join(noise(rng.randint(0, 70)) + rng.choice(passages)[rng.randint(0, 9) :] for _ in range(rng.randint(1, 4)))) for i in range(90)]
+    rows += [(200, noise(150_000) + passages[5]), (201, rows[3][1] + b"x" * 3000), (202, b"x" * 2000), (203, noise(49))]
+    table = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.substring_digest(table).collect()}
+    assert got == brute_removed(rows)
 
 
 def test_hot_buckets_are_compared_alike(spark, docs, monkeypatch):

@@ -164,11 +164,29 @@ def test_token_file_reads_only_what_is_asked():
         tokenfile.Reader(io.BytesIO(raw[:-3]), len(raw) - 3)
 
 
-def test_every_window_holds_a_sample():
+def test_equal_strings_hold_a_sampled_place_together():
+    """Wherever two equal 50-byte strings stand, some place at the same distance is sampled in both, with one gram."""
+    differences = {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER if a != b}
+    assert differences == set(range(1, substrings.PERIOD))
     rng = np.random.default_rng(1)
-    for data in (rng.integers(97, 101, 3000).astype(np.uint8), np.full(400, 120, np.uint8), rng.integers(0, 255, 60).astype(np.uint8)):
-        doc, pos, _, _ = substrings.sample(data, np.array([len(data)]))
-        assert all(((pos >= s) & (pos <= s + substrings.SPREAD)).any() for s in range(len(data) - substrings.LENGTH + 1))
+    passage = rng.integers(97, 123, 50).astype(np.uint8)
+    for i in range(31):
+        for j in (0, 5, 17, 30):
+            docs = [np.concatenate([rng.integers(97, 123, k).astype(np.uint8), passage, rng.integers(97, 123, 3).astype(np.uint8)]) for k in (i, j)]
+            doc, pos, gram, _ = substrings.sample(np.concatenate(docs), np.cumsum([len(d) for d in docs]))
+            own = [{(int(p) - k, int(g)) for p, g, d in zip(pos, gram, doc, strict=True) if d == n} for n, k in enumerate((i, j))]
+            assert any(0 <= p <= substrings.SPREAD for p, _ in own[0] & own[1])
+            blocks = [substrings.sample(np.concatenate(docs), np.cumsum([len(d) for d in docs]), b, 4) for b in range(4)]
+            assert sorted(np.concatenate([x[3] for x in blocks])) == sorted(substrings.sample(np.concatenate(docs), np.cumsum([len(d) for d in docs]))[3])
+
+
+def test_strings_are_compared_by_their_bytes():
+    rng = np.random.default_rng(2)
+    data = np.concatenate([x := rng.integers(0, 9, 50).astype(np.uint8), rng.integers(0, 9, 50).astype(np.uint8), x])
+    order, new = substrings._in_order(data, np.array([0, 50, 100]), np.array([7, 7, 7], np.uint64))
+    runs = np.cumsum(new)
+    at = {int(o): int(r) for o, r in zip(order, runs, strict=True)}
+    assert at[0] == at[2] != at[1] and order.tolist().index(0) < order.tolist().index(2)
 
 
 def test_trigram_queries():
@@ -181,18 +199,3 @@ def test_several_overfull_ranges_are_cut_in_one_round():
     key = lambda k: (k, 0, 0)
     sample = [(key(k), 1.0) for k in range(40)]
     assert sharding._subdivided([key(9), key(19), key(29)], sample, {0: 2, 2: 2, 3: 2}) == [key(k) for k in (4, 9, 19, 24, 29, 34)]
-
-
-def test_contexts_keep_all_bits(monkeypatch):
-    import pyarrow as pa
-
-    ctx = np.array([7 << 32 | 1, 7 << 32 | 2, 7 << 32 | 1 << 16], dtype=np.uint64)
-    monkeypatch.setattr(substrings, "sample", lambda data, ends: (np.arange(3), np.zeros(3, np.int64), np.full(3, 5, np.uint64), ctx))
-
-    class Rows:
-        def mapInArrow(self, run, _):
-            batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(["x" * 100] * 3)], names=["doc_id", "rid", "text"])
-            return [r for b in run([batch]) for r in b.to_pylist()]
-
-    (r,) = substrings._sampled(Rows(), 1)
-    assert (np.frombuffer(r["ctx_high"], np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["ctx_low"], np.uint32)).tolist() == ctx.tolist()
