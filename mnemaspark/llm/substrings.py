@@ -45,6 +45,8 @@ SPREAD = PERIOD - 1  # a string around a place starts at most this far before it
 GRAM = LENGTH - SPREAD
 BLOCKS = 4
 PART_BYTES = 24 << 20
+#: Texts are dealt into slots of about half of ``PART_BYTES``; this many at least.
+MIN_SLOTS = 64
 CHUNK = 1 << 20
 HELD = 500_000
 HOT = 200_000
@@ -459,7 +461,7 @@ def mark(docs: DataFrame, stage: Stage) -> DataFrame:
     rows = docs.select("doc_id", rid, "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // PART_BYTES)
-    slots = 2 * parts
+    slots = max(MIN_SLOTS, 2 * (1 + total // PART_BYTES))
     found = [stage.write(_ranked(_sampled(rows, parts, block), parts, slots), f"found-{block}") for block in range(BLOCKS)]
     found = stage.spark.read.parquet(*[stage.path(f"found-{block}") for block in range(BLOCKS)]) if BLOCKS > 1 else found[0]
     contexts = stage.write(_contexts(rows, found, parts, slots), "contexts")
