@@ -21,28 +21,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null and empty texts are scored like others, by the bias alone."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return neardup.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies (similarity of 0.80 or more), that of the smallest doc_id.
+
+    Null and empty texts, and rows without doc_id, stay; of a repeated doc_id all rows stay or go.
+    """
+    return neardup.keep_one(docs, neardup.Rule(80, 100)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which benchmark items don't cover a twentieth of the words."""
+    """Documents in which benchmark items don't cover a twentieth of the words; those without words stay."""
     return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced; n_chars is that of the new text."""
+    """All documents, secrets replaced; n_chars is that of the new text where one was. Null texts stay null."""
     clean = secrets.redact(secrets.scan(docs, secrets.WHOLE))
     return clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of the bytes decoded from them."""
+    """Token ids of every document, with the digests of ids and of the bytes decoded from them; null texts have none."""
     path = public_tokenizers.path(BYTE_BPE)
     return bpe.bpe_ids(docs, path, public_tokenizers.PATTERN)
 
