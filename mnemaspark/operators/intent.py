@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.text import detect_lang, stripped
+from ..sources.shared import ensure_checkpoint_dir
 
 INTENT = "who array<string>, what string, where string, query_type string, confidence double"
 
@@ -17,43 +18,49 @@ def groups(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
-def _slots(q: Column, pattern: str, kind: str) -> Column:
-    java, n = L.unicode_words(pattern), groups(pattern)
-    one = stripped(F.regexp_extract(q, java, 1)) if n else F.lit("")
-    two = stripped(F.regexp_extract(q, java, 2)) if n > 1 else F.lit("")
-    place = kind == "location" and n == 1
-    who = F.lit("") if kind == "temporal" or place else one
-    what = one if kind == "temporal" else two if kind in ("action", "location", "temporal who", "causal") else F.lit("")
-    return F.struct(
-        F.filter(F.array(who), lambda w: w != "").alias("who"), what.alias("what"), (one if place else F.lit("")).alias("where"),
-        F.lit(kind.split()[0]).alias("query_type"), F.lit(L.CONFIDENCE[kind]).alias("confidence"),
-    )
+#: All patterns, the languages' lists one after another; an intent is known by its pattern's place here.
+PATTERNS = [(code, pattern, kind) for code in ("en", "es", "pt") for pattern, kind in L.QUESTIONS[code]]
 
 
-def _nothing() -> Column:
-    return F.struct(F.array().cast("array<string>").alias("who"), F.lit("").alias("what"), F.lit("").alias("where"), F.lit("unknown").alias("query_type"), F.lit(0.0).alias("confidence"))
+def _number(q: Column, lang: Column) -> Column:
+    """The first pattern of the language that a question meets, or null; those of pt stand in for languages that have none."""
+    found: dict[str, Column] = {}
+    for i, (code, pattern, _) in enumerate(PATTERNS):
+        hit = q.rlike(L.unicode_words(pattern))
+        found[code] = found[code].when(hit, i) if code in found else F.when(hit, i)
+    return F.when(q != "", F.when(lang == "en", found["en"]).when(lang == "es", found["es"]).otherwise(found["pt"]))
 
 
-def intent(question: Column, lang: Column) -> Column:
-    """The intent of a question; patterns of pt stand in for languages that have none."""
-    q = stripped(F.lower(question))
-    by_lang = None
-    for code in ("en", "es", "pt"):
-        found = None
-        for pattern, kind in L.QUESTIONS[code]:
-            hit = q.rlike(L.unicode_words(pattern))
-            found = (F.when if found is None else found.when)(hit, _slots(q, pattern, kind))
-        found = found.otherwise(_nothing())
-        by_lang = F.when(lang == code, found) if by_lang is None else by_lang.when(lang == code, found) if code == "es" else by_lang.otherwise(found)
-    return F.when(q == "", _nothing()).otherwise(by_lang)
+def _with_slots(rows: DataFrame) -> DataFrame:
+    """Columns kind, one, two and place_only of each row's pattern ``n`` over its text ``q``."""
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("n"))
+    # two empty groups at the end, so that every pattern has a first and a second
+    pattern = pick([L.unicode_words(p) + "()()" for _, p, _ in PATTERNS])
+    part = lambda g: stripped(F.call_function("regexp_extract", "q", pattern, F.lit(g)))
+    return rows.withColumns({
+        "kind": F.coalesce(pick([k for *_, k in PATTERNS]), F.lit("unknown")), "one": part(1), "two": part(2),
+        "place_only": F.coalesce(pick([k == "location" and groups(p) == 1 for _, p, k in PATTERNS]), F.lit(False)),
+        "confidence": F.coalesce(pick([float(L.CONFIDENCE[k]) for *_, k in PATTERNS]), F.lit(0.0))})
 
 
 def with_intent(questions: DataFrame) -> DataFrame:
-    """``questions`` (query_id, question, lang: pt, en, es or auto) with ``intent``; lang becomes the one used."""
+    """``questions`` (query_id, question, lang: pt, en, es or auto) with ``intent``; lang becomes the one used.
+
+    Each question meets each pattern once: the parsed questions are written to the shared
+    folder, since all that follows reads them several times.
+    """
+    ensure_checkpoint_dir(questions.sparkSession)
     lang = F.when(F.col("lang") == "auto", detect_lang(F.col("question"))).otherwise(F.col("lang"))
-    read = questions.withColumn("lang", lang).withColumn("intent", intent(F.col("question"), F.col("lang")))
-    # an exchange here is shared by all that follows; without it each use would match the patterns anew
-    return read.repartition("query_id")
+    own = questions.select(F.struct(*questions.columns).alias("row"), lang.alias("lang"), stripped(F.lower("question")).alias("q"))
+    read = _with_slots(own.withColumn("n", _number(F.col("q"), F.col("lang"))))
+    kind, one, place_only = F.col("kind"), F.col("one"), F.col("place_only")
+    who = F.when((kind == "temporal") | place_only, "").otherwise(one)
+    what = F.when(kind == "temporal", one).when(kind.isin("action", "location", "temporal who", "causal"), F.col("two")).otherwise("")
+    intent = F.struct(
+        F.filter(F.array(who), lambda w: w != "").alias("who"), what.alias("what"), F.when(place_only, one).otherwise("").alias("where"),
+        F.split_part(kind, F.lit(" "), F.lit(1)).alias("query_type"), "confidence")
+    kept = [F.col("lang") if c == "lang" else F.col(f"row.{c}").alias(c) for c in questions.columns]
+    return read.select(*kept, intent.alias("intent")).repartition("query_id").checkpoint()
 
 
 def structured(i: str = "intent") -> Column:

@@ -3,7 +3,8 @@
 A memory's score is the part that its participants make and the part that its content makes.
 The first needs an equal name, so it is an equi-join. The second is the same for all memories
 of equal (what, place): it is computed once for each such profile, and of a profile only
-the first k memories can enter a top-k that their names don't decide.
+the first k memories can enter a top-k that their names don't decide. Profiles are found by
+words and short stretches of characters, never by comparing all with all.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import recall_tokens, space_tokens
+from ..sources.shared import ensure_checkpoint_dir
 from .intent import structured
 
 K = 5
@@ -58,10 +60,10 @@ def structural(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFra
     by_name = by_name.select(F.col("h.query_id").alias("query_id"), F.struct("h.who", "h.what", "h.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"), "hits")
     # whether names are asked for decides the weight of a place, so it ranks contents apart; which names does not
     asked = q.select("what", "query_type", _names_only().alias("who")).distinct()
-    # contents against what is asked: neither grows with the number of memories or questions of equal content
-    content = asked.alias("q").crossJoin(profiles(m, k).alias("m")).select(F.struct("q.who", "q.what", "q.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"))
-    useful = content.filter(((F.col("q.what") != "") & (_what_part() > 0)) | ((F.col("q.query_type") == "location") & ~F.col("m.place").isin("", "default")))
-    rank = Window.partitionBy("q.what", "q.query_type", "q.who").orderBy(F.desc(match_score(F.lit(0))), F.col("m.seq"))
+    content = candidates(asked, m, k).select(F.struct("q.who", "q.what", "q.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"))
+    # memories that need a name to reach the limit come by their names
+    useful = content.withColumn("score", match_score(F.lit(0))).filter(F.col("score") >= LEAST)
+    rank = Window.partitionBy("q.what", "q.query_type", "q.who").orderBy(F.desc("score"), F.col("m.seq"))
     useful = useful.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= k)
     by_what = _by_what(q, useful)
     scored = by_name.unionByName(by_what).withColumn("score", match_score(F.col("hits"))).filter(F.col("score") >= LEAST)
@@ -69,6 +71,48 @@ def structural(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFra
     return _top(best.select("query_id", "score", "m.*"), k)
 
 
+def _grams(x: Column) -> Column:
+    """All stretches of one, two and three characters."""
+    cut = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
+
+
+def wordings(asked: DataFrame, memories: DataFrame) -> DataFrame:
+    """(what, text): pairs of a question's content and a memory's, in lower case, that may reach the limit without a name.
+
+    They share a word, or one holds the other. For words, a question of n joins by its rarest
+    only: of those it needs for the limit at least one is among the first n - need + 1. Only a
+    place asked for without names can make up for words, then any one counts. For the other, the
+    first three characters of the shorter are among the stretches of the longer.
+    """
+    easy = (F.col("query_type") == "location") & (F.size("who") == 0)
+    mine = asked.filter("what <> ''").groupBy(F.lower("what").alias("what")).agg(F.bool_or(easy).alias("easy"))
+    texts = memories.filter("what <> ''").select(F.lower("what").alias("text")).distinct()
+    word = texts.select("text", F.explode(space_tokens(F.col("text"))).alias("tok"))
+    asks = mine.select("what", "easy", F.explode(space_tokens(F.col("what"))).alias("tok"))
+    df = word.join(asks.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    ranked = asks.join(df, "tok", "left").groupBy("what", "easy").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("toks"))
+    need = F.when(F.col("easy"), 1).otherwise(F.ceil(F.size("toks") * LEAST - 1e-9))
+    rare = ranked.select("what", F.explode(F.slice("toks", F.lit(1), (F.size("toks") - need + 1).cast("int"))).alias("t")).select("what", F.col("t.tok").alias("tok"))
+    shared = rare.join(word, "tok").select("what", "text")
+    head = lambda x: F.substring(x, 1, 3)
+    inside = mine.select("what", head(F.col("what")).alias("gram")).join(texts.select("text", F.explode(_grams(F.col("text"))).alias("gram")), "gram").filter(F.contains("text", "what"))
+    around = mine.select("what", F.explode(_grams(F.col("what"))).alias("gram")).join(texts.select("text", head(F.col("text")).alias("gram")), "gram").filter(F.contains("what", "text"))
+    return shared.union(inside.select("what", "text")).union(around.select("what", "text")).distinct()
+
+
+def candidates(asked: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """Columns q.* (asked) and m.*: the first k memories of each content that may reach the limit without a name."""
+    first = profiles(memories, k)
+    pairs = wordings(asked, memories)
+    by_word = asked.withColumn("low", F.lower("what")).join(pairs.withColumnRenamed("what", "low"), "low").alias("q").join(first.withColumn("low_text", F.lower("what")).alias("m"), F.col("q.text") == F.col("m.low_text"))
+    # a question for a place alone takes whatever has one: k rows against one
+    placed = memories.filter(~F.col("place").isin("", "default")).orderBy("seq").limit(k)
+    by_place = asked.filter("what = '' and query_type = 'location' and size(who) = 0").alias("q").crossJoin(placed.alias("m"))
+    cols = [F.struct(*[f"q.{c}" for c in ("what", "query_type", "who")]).alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m")]
+    return by_word.select(*cols).union(by_place.select(*cols))
+
+
 def _names_only() -> Column:
     """A list of one empty name where the question has names, else an empty list."""
     return F.when(F.size("who") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
@@ -106,7 +150,8 @@ def semantic(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame
 def tiered(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
     """Structural first; where it has under two, the semantic tier adds what is not there yet."""
     # k rows for each question at most, read three times below
-    first = structural(questions, memories, k).withColumn("tier", F.lit("structural")).persist()
+    ensure_checkpoint_dir(questions.sparkSession)
+    first = structural(questions, memories, k).withColumn("tier", F.lit("structural")).checkpoint()
     few = questions.join(first.groupBy("query_id").count().filter("count >= 2"), "query_id", "left_anti")
     second = semantic(few, memories, k).withColumn("tier", F.lit("semantic"))
     second = second.join(first.select("query_id", "id"), ["query_id", "id"], "left_anti")
