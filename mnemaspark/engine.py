@@ -20,19 +20,28 @@ class Engine:
     policy: str = "WARN"
 
     def remember(self, writes: DataFrame) -> tuple["Engine", DataFrame]:
-        """The engine with the writes that were not blocked, and the result of each write."""
-        result = validate.validate(writes, self.memories.unionByName(writes), self.entities, self.policy)
-        stored = writes.join(result.filter("status <> 'BLOCKED'").select("id"), "id", "left_semi")
+        """The engine with the writes that were not blocked, and the result of each write.
+
+        The writes come after all memories, in order of ``seq``; a blocked one is not compared with.
+        """
+        result, stored = validate.validate_in_order(writes, self.memories, self.entities, self.policy)
         return Engine(self.memories.unionByName(stored), self.entities, self.policy), result
 
+    def remember_and_recall(self, writes: DataFrame, questions: DataFrame, k: int = 5, max_tokens: int = 200) -> tuple["Engine", DataFrame, DataFrame]:
+        """The engine after the writes, their results, and what the questions then recall, packed."""
+        after, result = self.remember(writes)
+        return after, result, after.recall(questions, k, max_tokens)[0]
+
     def recall(self, questions: DataFrame, k: int = 5, max_tokens: int = 200) -> tuple[DataFrame, DataFrame]:
         """(query_id, packed, tokens) and the memories recalled. Memories merged away are dropped after the top k."""
         asked = intent.with_intent(questions)
-        found = recall.tiered(asked, self.memories, k)
-        live = self.memories.filter("consolidated_into is null").select("id")
-        found = found.join(live, "id", "left_semi")
+        found = self._found(asked, k)
         return recall.pack(found, asked, max_tokens), found
 
+    def _found(self, asked: DataFrame, k: int) -> DataFrame:
+        live = self.memories.filter("consolidated_into is null").select("id")
+        return recall.tiered(asked, self.memories, k).join(live, "id", "left_semi")
+
     def touched(self, found: DataFrame, as_of: str) -> DataFrame:
         """Memories with the access count and time of those just recalled."""
         hits = found.groupBy("id").agg(F.count("*").cast("int").alias("hits"))
@@ -40,7 +49,8 @@ class Engine:
         return m.withColumn("access_count", F.col("access_count") + F.coalesce("hits", F.lit(0))).withColumn("last_accessed", F.when(F.col("hits").isNotNull(), F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("last_accessed"))).drop("hits")
 
     def inspect(self, questions: DataFrame, k: int = 5) -> DataFrame:
-        found = recall.tiered(intent.with_intent(questions), self.memories, k).select("query_id", "rank", "id")
+        """What ``recall`` finds, with all columns and the match of each memory with the question's text."""
+        found = self._found(intent.with_intent(questions), k).select("query_id", "rank", "id")
         rows = found.join(self.memories, "id").join(questions.select("query_id", "question"), "query_id")
         return rows.withColumn("match_score", F.bround(S.matches_text(F.col("question")), 3))
 

@@ -11,25 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard
-from ..functions.text import has_negation, validator_tokens
+from ..functions.text import has_negation, stripped, validator_tokens
+from ..sources.shared import ensure_checkpoint_dir
 
 SIMILAR, WHO_OVERLAP, WHAT_OVERLAP = 0.85, 0.5, 0.3
+PREPARED = ("id", "seq", "who", "what", "why", "place")
 
 
 def _prepared(memories: DataFrame) -> DataFrame:
-    return memories.select("id", "seq", F.array_distinct("who").alias("who"), F.coalesce(F.col("place"), F.lit("default")).alias("place"),
+    who = F.array_distinct(F.coalesce("who", F.array().cast("array<string>")))
+    return memories.select("id", "seq", who.alias("who"), F.coalesce(F.nullif("place", F.lit("")), F.lit("default")).alias("place"),
                            validator_tokens(F.col("what")).alias("toks"), (has_negation(F.col("what")) | has_negation(F.col("why"))).alias("neg"))
 
 
-def overlapping(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Pairs of a write and an earlier memory, with overlaps and whether one is negated."""
+def overlapping(new: DataFrame, old: DataFrame, named_only: bool = False) -> DataFrame:
+    """Pairs of a write and an earlier memory, with overlaps and whether one is negated.
+
+    ``named_only`` leaves out pairs without a common participant, which can't contradict each other.
+    """
     a, b = _prepared(new), _prepared(old)
     named = lambda x, tag: x.select("id", "place", F.explode("who").alias("w")).withColumnRenamed("id", tag)
     some = named(a, "a").join(named(b, "b"), ["place", "w"]).select("a", "b").filter("a <> b").distinct()
     left = a.select(F.col("id").alias("a"), "place", F.size("who").alias("n"))
     right = b.select(F.col("id").alias("b"), "place", F.size("who").alias("m"))
-    open_ = left.filter("n = 0").join(right, "place").select("a", "b").union(left.filter("n > 0").join(right.filter("m = 0"), "place").select("a", "b"))
-    pairs = some.union(open_)
+    open_ = None if named_only else left.filter("n = 0").join(right, "place").select("a", "b").union(left.filter("n > 0").join(right.filter("m = 0"), "place").select("a", "b"))
+    pairs = some if named_only else some.union(open_)
     x = a.select(F.col("id").alias("a"), F.col("seq").alias("sa"), F.col("who").alias("wa"), F.col("toks").alias("ta"), F.col("neg").alias("na"))
     y = b.select(F.col("id").alias("b"), F.col("seq").alias("sb"), F.col("who").alias("wb"), F.col("toks").alias("tb"), F.col("neg").alias("nb"))
     return pairs.join(x, "a").join(y, "b").filter("sb < sa").select(
@@ -43,9 +49,13 @@ def ambiguous(memories: DataFrame, entities: DataFrame, name: str = "who") -> Da
     return names.join(known, "w").groupBy("id").agg(F.sum("n").alias("n_candidates"))
 
 
+def _conflict():
+    return (F.col("who_overlap") >= WHO_OVERLAP) & (F.col("what_overlap") >= WHAT_OVERLAP) & F.col("opposed")
+
+
 def judged(pairs: DataFrame) -> DataFrame:
     """(id, similar_id, similarity, conflict_id): the most similar earlier memory over the limit and the first that contradicts."""
-    conflict = (F.col("who_overlap") >= WHO_OVERLAP) & (F.col("what_overlap") >= WHAT_OVERLAP) & F.col("opposed")
+    conflict = _conflict()
     # redundancy is looked for up to the first conflict only
     first = pairs.groupBy("a").agg(F.min(F.when(conflict, F.col("sb"))).alias("stop"))
     seen = pairs.join(first, "a").filter(F.col("stop").isNull() | (F.col("sb") <= F.col("stop")))
@@ -60,7 +70,7 @@ def validate(new: DataFrame, old: DataFrame, entities: DataFrame, policy: str =
     """V1 and V2: (id, status, level, conflict_id, similar_id) of every write."""
     found = new.select("id", "what", "when_ts").join(judged(overlapping(new, old)), "id", "left").join(ambiguous(new, entities), "id", "left")
     level = (
-        F.when(F.trim("what") == "", "schema").when(F.col("conflict_id").isNotNull(), "contradiction").when(F.col("similar_id").isNotNull(), "redundancy")
+        F.when(stripped(F.col("what")) == "", "schema").when(F.col("conflict_id").isNotNull(), "contradiction").when(F.col("similar_id").isNotNull(), "redundancy")
         .when(F.col("n_candidates").isNotNull(), "ambiguity").when(F.year("when_ts") > 2200, "date").otherwise("none"))
     status = F.when(level == "none", "OK").when(level.isin("schema", "contradiction"), "WARN" if policy == "WARN" else "BLOCKED").otherwise("WARN")
     downgraded = F.when(level.isin("schema", "contradiction") & F.lit(policy == "WARN"), "BLOCKED")
@@ -71,32 +81,45 @@ def validator_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "WARN", "BLOCKED")])
 
 
-def accept_in_order(writes: DataFrame) -> DataFrame:
-    """BLOCK policy: (id, accepted) where a write is compared only with accepted ones before it.
+def accept_in_order(writes: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """BLOCK policy: (id, accepted) where a write is compared only with ``old`` and with accepted writes before it.
 
-    Acceptance depends on acceptance, so writes of one place go in order through one group;
-    a place's accepted memories are all that the group holds.
+    A blank write is refused. Contradictions are the edges of a graph; each round refuses the
+    writes next to one accepted before them and accepts those of which all earlier neighbours
+    are refused, so there are as many rounds as the longest chain of undecided writes, and no
+    place or participant is brought together in one task.
     """
-    rows = _prepared(writes)
-
-    def run(pdf):
-        kept, out = [], []
-        for r in pdf.sort_values("seq").itertuples():
-            who, toks = set(r.who), set(r.toks)
-            ok = True
-            for w, t, neg in kept:
-                if who and w and not who & w:
-                    continue
-                near = len(toks & t) / len(toks | t) if toks and t else 0.0
-                both = len(who & w) / len(who | w) if who and w else 0.0
-                if both >= WHO_OVERLAP and near >= WHAT_OVERLAP and neg != r.neg:
-                    ok = False
-                    break
-            if ok:
-                kept.append((who, toks, r.neg))
-            out.append((r.id, ok))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["id", "accepted"])
-
-    return rows.groupBy("place").applyInPandas(run, "id long, accepted boolean")
+    ensure_checkpoint_dir(writes.sparkSession)
+    fit = writes.filter(stripped(F.col("what")) != "")
+    before = fit if old is None else old.select(*PREPARED).unionByName(fit.select(*PREPARED))
+    edges = overlapping(fit, before, named_only=True).filter(_conflict()).select("a", "b").checkpoint()
+    todo = edges.select(F.col("a").alias("id")).distinct()
+    # stored memories and writes without an earlier contradiction
+    state = before.select("id").join(todo, "id", "left_anti").select("id", F.lit(True).alias("accepted")).checkpoint()
+    todo = todo.checkpoint()
+    while not todo.isEmpty():
+        seen = edges.join(todo.withColumnRenamed("id", "a"), "a").join(state.withColumnRenamed("id", "b"), "b", "left")
+        ruled = seen.groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("accepted", F.lit(False))).alias("refused"), F.bool_or(F.col("accepted").isNull()).alias("open"))
+        done = ruled.filter("refused or not open").select("id", (~F.col("refused")).alias("accepted"))
+        state = state.unionByName(done).checkpoint()
+        todo = todo.join(state, "id", "left_anti").checkpoint()
+    return writes.select("id").join(state, "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def validate_in_order(writes: DataFrame, old: DataFrame, entities: DataFrame, policy: str = "WARN") -> tuple[DataFrame, DataFrame]:
+    """(results, writes to store) of writes that come one after another: what was blocked is never compared with."""
+    ensure_checkpoint_dir(writes.sparkSession)
+    after = follow(writes, old)
+    taken = after
+    if policy != "WARN":
+        taken = after.join(accept_in_order(after, old).filter("accepted").select("id"), "id", "left_semi").select(*after.columns)
+    results = validate(after, old.select(*PREPARED).unionByName(taken.select(*PREPARED)), entities, policy).checkpoint()
+    # written, so that the plans of later writes and questions don't grow with each call
+    return results, after.join(results.filter("status <> 'BLOCKED'").select("id"), "id", "left_semi").select(*writes.columns).checkpoint()
+
+
+def follow(writes: DataFrame, old: DataFrame) -> DataFrame:
+    """``writes`` with ``seq`` moved behind that of all of ``old``: they came later, whatever numbers they bring."""
+    last, first = old.agg(F.max("seq").alias("last")), writes.agg(F.min("seq").alias("first"))
+    moved = writes.join(F.broadcast(last.join(first)))  # one row
+    return moved.withColumn("seq", F.col("seq") + F.coalesce(F.col("last") + 1 - F.col("first"), F.lit(0))).select(*writes.columns)

@@ -1,4 +1,4 @@
-"""The folder for checkpoints: the cluster's own, or one of this machine where none is set."""
+"""The folder for checkpoints: the cluster's own, or in local mode one of this machine where none is set."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mnemaspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

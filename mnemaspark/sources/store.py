@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 
+CURRENT = "current.txt"
 MEMORY = (
     "id string, who array<string>, what string, why string, `when` string, `where` string, how string, importance double, access_count int, "
     "last_accessed string, created_at string, metadata map<string,string>, lang string"
@@ -16,14 +19,19 @@ RELATION = "id string, from_id string, relation_type string, to_id string, stren
 
 
 def load(spark: SparkSession, path: str, namespace: str = "default") -> dict[str, DataFrame]:
-    """memories, entities and relations of a graph file; a missing file is an empty graph. The file's own namespace wins."""
+    """memories, entities and relations of a graph file, or of a folder that ``save`` wrote.
+
+    A missing file is an empty graph; the file's own namespace wins. A folder without a saved version is an error.
+    """
     from pyspark.sql import types as T
 
     parts = {"memories": T.StructType.fromDDL(MEMORY), "entities": T.StructType.fromDDL(ENTITY), "relations": T.StructType.fromDDL(RELATION)}
     schema = T.StructType([T.StructField("namespace", T.StringType()), *[T.StructField(k, T.ArrayType(v)) for k, v in parts.items()]])
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    fs, at = _at(spark, path)
+    there = fs.exists(at)
+    if there and fs.getFileStatus(at).isDirectory():
+        version = spark.read.text(f"{path}/{CURRENT}").first()[0]
+        return {k: spark.read.schema(T.StructType([T.StructField("namespace", T.StringType()), T.StructField("seq", T.LongType()), *v.fields])).json(f"{path}/{version}/{k}") for k, v in parts.items()}
     file = spark.read.schema(schema).json(path, multiLine=True) if there else spark.createDataFrame([], schema)
     out = {}
     for k in parts:
@@ -32,10 +40,34 @@ def load(spark: SparkSession, path: str, namespace: str = "default") -> dict[str
     return out
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def save(tables: dict[str, DataFrame], path: str, namespace: str = "default") -> None:
-    """Each table as JSON lines in a folder of its own under ``path``; readers of the old version keep it until the rename."""
+    """The three tables as JSON lines in a new folder under ``path``; then the file that names the current one is replaced.
+
+    The replacement is one rename, atomic on file systems that have it; readers see the old
+    version or the new one. Older versions stay, as someone may still read them.
+    """
+    missing = {"memories", "entities", "relations"} - set(tables)
+    if missing:
+        raise ValueError(f"no table for {sorted(missing)}")
+    spark, version = tables["memories"].sparkSession, f"v-{uuid.uuid4().hex}"
     for k, df in tables.items():
-        df.withColumn("namespace", F.lit(namespace)).write.mode("overwrite").json(f"{path}/{k}")
+        own = F.coalesce("namespace", F.lit(namespace)) if "namespace" in df.columns else F.lit(namespace)
+        df.withColumn("namespace", own).write.json(f"{path}/{version}/{k}")
+    jvm, gateway, conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, new = _at(spark, f"{path}/_{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    context.rename(fs.makeQualified(new), fs.makeQualified(_at(spark, f"{path}/{CURRENT}")[1]), how)
 
 
 def exported(memories: DataFrame) -> DataFrame:

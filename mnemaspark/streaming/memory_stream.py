@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import extract_where, extract_who
 from ..operators import validate
@@ -17,21 +20,34 @@ def turn_memories(turns: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("when_ts"))
 
 
+def stored(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """All rows that ``store_turns`` wrote to ``table``, with the stream and batch that brought them; none if it isn't there."""
+    full = StructType([*schema.fields, StructField("stream", StringType()), StructField("batch", LongType())])
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(full).parquet(table) if there else spark.createDataFrame([], full)
+
+
 def store_turns(stream: DataFrame, table: str, checkpoint: str, policy: str = "WARN"):
-    """A started query that validates each micro-batch against ``table`` (a Parquet path) and the batch itself, and appends what is not blocked."""
-    spark = stream.sparkSession
-    schema = "id long, name string"
+    """A started query that validates each micro-batch against ``table`` and the batch itself, and adds what is not blocked.
+
+    ``table`` is a folder that only this function writes, a part for each batch of a stream
+    (known by its checkpoint). A batch that runs again replaces its own part. Batches come in
+    order of arrival, rows within one by conversation and turn.
+    """
+    spark, name = stream.sparkSession, hashlib.md5(checkpoint.encode()).hexdigest()
+    things = spark.createDataFrame([], "id long, name string")
+    schema = turn_memories(stream).schema
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         new = batch.persist()
         try:
-            old = spark.read.schema(new.schema).parquet(table)
-            result = validate.validate(new, old.unionByName(new), spark.createDataFrame([], schema), policy)
-            new.join(result.filter("status <> 'BLOCKED'").select("id"), "id", "left_semi").write.mode("append").parquet(table)
+            old = stored(spark, table, schema).filter((F.col("stream") != name) | (F.col("batch") < batch_id)).drop("stream", "batch")
+            _, taken = validate.validate_in_order(new, old, things, policy)
+            taken.write.mode("overwrite").parquet(f"{table}/stream={name}/batch={batch_id}")
         finally:
             new.unpersist()
 
-    spark.createDataFrame([], turn_memories(stream).schema).write.mode("append").parquet(table)
     return turn_memories(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mnemaspark.engine import Engine
 from mnemaspark.functions import decay as D
 from mnemaspark.functions import similarity as S
 from mnemaspark.functions import text as T
 from mnemaspark.operators import dream, intent, recall, validate, vector
+from mnemaspark.sources import store
+from mnemaspark.streaming import memory_stream
 
 MEMORY = (
     "id long, seq long, who array<string>, what string, why string, place string, how string, importance double, when_ts timestamp_ntz, created_at timestamp_ntz, "
@@ -75,7 +78,8 @@ def test_recall_and_pack(spark):
     assert got[2] == [(3, "semantic", 0.667)] and 3 not in got
     packs = {r["query_id"]: r["packed"] for r in recall.pack(found, q, 12).collect()}
     assert packs[2] == "sistema fora do ar"
-    assert packs[1] == "Rita | pediu troca do produtoRita | elog" or packs[1].startswith("Rita | pediu troca do produto")
+    # 18 of 48 characters are left for the second line, too few to cut it
+    assert packs[1] == "Rita | pediu troca do produto"
 
 
 def test_places_count_for_named_location_questions(spark):
@@ -89,7 +93,7 @@ def test_validation(spark):
     m = memories(spark, (["Rita"], "cliente pediu troca", "", "loja", 0.5), (["Rita"], "cliente não pediu troca", "", "loja", 0.5), (["Caio"], "cliente não pediu troca", "", "loja", 0.5), (["Rita"], "troca pediu cliente", "", "loja", 0.5))
     things = spark.createDataFrame([(1, "Caio"), (2, "caio")], "id long, name string")
     got = {r["id"]: (r["status"], r["level"]) for r in validate.validate(m, m, things, "BLOCK").collect()}
-    assert got == {0: ("OK", "none"), 1: ("BLOCKED", "contradiction"), 2: ("WARN", "ambiguity"), 3: ("WARN", "redundancy")} or got[1] == ("BLOCKED", "contradiction")
+    assert got == {0: ("OK", "none"), 1: ("BLOCKED", "contradiction"), 2: ("WARN", "ambiguity"), 3: ("BLOCKED", "contradiction")}
     soft = {r["id"]: r["downgraded_from"] for r in validate.validate(m, m, things, "WARN").collect()}
     assert soft[1] == "BLOCKED" and soft[0] is None
     kept = {r["id"]: r["accepted"] for r in validate.accept_in_order(m).collect()}
@@ -124,3 +128,72 @@ def test_vectors_with_nulls_and_zeros(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = vector.top_k(v, v.filter("vec_id in (0, 2)").withColumnRenamed("vec_id", "query_id"), 3).collect()
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in got] == [(0, 1, 1)]
+
+
+def test_blank_contents_are_refused_and_empty_places_are_the_default(spark):
+    m = memories(spark, ([], "\n\t", "", "loja", 0.5), (["Rita"], "ana paga conta", "", "", 0.5), (["Rita"], "ana não paga conta", "", "default", 0.5), (None, "ana paga conta", "", "loja", 0.5))
+    none = spark.createDataFrame([], "id long, name string")
+    got = {r["id"]: (r["status"], r["level"]) for r in validate.validate(m, m, none, "BLOCK").collect()}
+    assert got == {0: ("BLOCKED", "schema"), 1: ("OK", "none"), 2: ("BLOCKED", "contradiction"), 3: ("OK", "none")}
+    assert {r["id"]: r["accepted"] for r in validate.accept_in_order(m).collect()} == {0: False, 1: True, 2: False, 3: True}
+
+
+def test_acceptance_in_order_matches_one_by_one(spark):
+    import random
+
+    rng, words = random.Random(5), ["ana", "paga", "conta", "hoje", "não"]
+    rows = [([rng.choice("AB")] if rng.random() < 0.9 else [], " ".join(sorted(rng.sample(words, rng.randint(1, 5)))), "", rng.choice(["p", "q"]), 0.5) for _ in range(60)]
+    kept, want = [], {}
+    for i, (who, what, _, place, _) in enumerate(rows):
+        toks, neg = set(what.split()), "não" in what.split()
+        want[i] = not any(w == who and who and p == place and neg != n and len(toks & t) / len(toks | t) >= 0.3 for w, t, n, p in kept)
+        if want[i]:
+            kept.append((who, toks, neg, place))
+    assert {r["id"]: r["accepted"] for r in validate.accept_in_order(memories(spark, *rows)).collect()} == want and not all(want.values())
+
+
+def test_a_blocked_write_is_not_compared_with(spark):
+    m = memories(spark, (["Rita"], "cliente pediu troca", "", "loja", 0.5), (["Rita"], "cliente não pediu troca", "", "loja", 0.5), (["Rita"], "cliente pediu troca hoje", "", "loja", 0.5))
+    things = spark.createDataFrame([], "id long, name string")
+    start = Engine(m.limit(0), things, "BLOCK")
+    first, _ = start.remember(m.filter("id = 2"))
+    after, results = first.remember(m.filter("id < 2"))
+    assert {r["id"]: r["status"] for r in results.collect()} == {0: "OK", 1: "BLOCKED"}
+    assert [r["id"] for r in after.memories.orderBy("seq").collect()] == [2, 0]
+    whole, results = start.remember(m)
+    assert {r["id"]: r["status"] for r in results.collect()} == {0: "OK", 1: "BLOCKED", 2: "OK"}
+    questions = spark.createDataFrame([(1, "O que Rita pediu?", "pt")], "query_id long, question string, lang string")
+    merged = Engine(whole.memories.withColumn("consolidated_into", F.when(F.col("id") == 2, 0).cast("long")), things)
+    assert [r["id"] for r in merged.inspect(questions).collect()] == [0]
+
+
+def test_a_cycle_keeps_earlier_merges(spark):
+    m = memories(spark, (["R"], "a b c", "", "p", 0.9), (["R"], "d e f", "", "p", 0.9)).withColumn("consolidated_into", F.when(F.col("id") == 1, 0).cast("long"))
+    assert dream.cycle(m, "2024-01-02 00:00:00").first().asDict() == {"n_cleaned": 0, "n_consolidated": 0, "n_replayed": 1}
+
+
+def test_a_saved_graph_is_read_back(spark, tmp_path):
+    (tmp_path / "graph.json").write_text('{"namespace": "shop", "memories": [{"id": "m1", "who": ["Ana"], "what": "x", "importance": 0.5}, {"id": "m0", "what": "y"}], "entities": [{"id": "e", "name": "Ana"}], "relations": []}')
+    graph = store.load(spark, str(tmp_path / "graph.json"))
+    for _ in range(2):
+        store.save(graph, str(tmp_path / "saved"))
+        back = store.load(spark, str(tmp_path / "saved"))
+        for k, n in (("memories", 2), ("entities", 1), ("relations", 0)):
+            rows = sorted(graph[k].collect())
+            assert len(rows) == n and sorted(back[k].collect()) == rows and back[k].columns == graph[k].columns
+    assert {k: v.count() for k, v in store.load(spark, str(tmp_path / "none")).items()} == {"memories": 0, "entities": 0, "relations": 0}
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception):
+        store.load(spark, str(tmp_path / "empty"))
+
+
+def test_turns_are_stored_in_order_of_arrival(spark, tmp_path):
+    turns = tmp_path / "turns"
+    source = "conv_id long, turn int, role string, text string"
+    seen = []
+    for conv, text in ((9, "Rita pagou a conta na loja"), (2, "Rita não pagou a conta na loja"), (1, "Rita pagou a conta hoje na loja")):
+        spark.createDataFrame([(conv, 1, "user", text), (conv, 2, "assistant", "ok")], source).coalesce(1).write.mode("append").parquet(str(turns))
+        stream = spark.readStream.schema(source).parquet(str(turns))
+        memory_stream.store_turns(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"), "BLOCK").awaitTermination()
+        seen.append([r["id"] // 100000 for r in spark.read.parquet(str(tmp_path / "table")).orderBy("seq").collect()])
+    assert seen == [[9], [9], [9, 1]]
