@@ -54,15 +54,15 @@ class Stage:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read again. Shuffle files of the write go when it ends."""
+    def write(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """``df`` written (a folder for each value of ``parts``) and read again. Shuffle files of the write go when it ends."""
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*parts).parquet(self.path(name))
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        return self.read(name)
+        return self.spark.read.schema(df.schema).parquet(self.path(name)) if parts else self.read(name)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))

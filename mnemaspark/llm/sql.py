@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import K, ROUNDS, SCALE, SEED, WIDTH
 from .decontaminate import WINDOW
 from .embdedup import THRESHOLD
 from .neardup import WORDS, Rule
@@ -67,3 +68,22 @@ _NAMED = "kind || ':' || start || ':' || (start + size)"
 SQL["op9_secret_scan"] = f"""WITH s AS ({_ALL}), l AS (SELECT doc_id, {', '.join(f"count(*) FILTER (nth = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))},
       string_agg({_NAMED}, ',' ORDER BY start, nth) FILTER (nth < {len(BASE)}) AS base, string_agg({_NAMED}, ',' ORDER BY start, nth) AS spans FROM s GROUP BY doc_id)
     SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN l USING (doc_id)"""
+
+
+def _lloyd() -> str:
+    """CTEs c0 to cROUNDS (j, q), each round as one assignment and one floor of means."""
+    near = "(SELECT n, any_value(vec_id) AS vec_id, any_value(v.q) AS q, min({{'d': list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'j': c.j}}) AS best FROM v, c{} c GROUP BY n)"
+    parts = []
+    for r in range(1, ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT best.j AS j, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM {near.format(r - 1)}),
+    m{r} AS (SELECT j, i, sum(x) AS s, count(*)::HUGEINT AS n FROM a{r} GROUP BY j, i),
+    c{r} AS MATERIALIZED (SELECT c.j, coalesce(any_value(w.q), any_value(c.q)) AS q FROM c{r - 1} c LEFT JOIN (SELECT j, list((s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END)::BIGINT ORDER BY i) AS q FROM m{r} GROUP BY j) w ON w.j = c.j GROUP BY c.j)""")
+    return ",\n    ".join([*parts, f"last AS MATERIALIZED {near.format(ROUNDS)}"])
+
+
+SQL["op13_centroid_clusters"] = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id)) - 1 AS j, q FROM v ORDER BY sha256('{SEED}:' || vec_id) LIMIT {K}),
+    {_lloyd()}
+    SELECT vec_id, best.j::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.j)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+      sha256(array_to_string(c{ROUNDS}.q, ',')) AS centroid_sha256 FROM last JOIN c{ROUNDS} ON c{ROUNDS}.j = best.j"""
