@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, centroids, chat, decontaminate, embdedup, neardup, quality, secrets, sharding, substrings, tokenout
+from . import bpe, centroids, chat, decontaminate, embdedup, neardup, quality, repair, secrets, sharding, substrings, tokenout, warc
 from .common import table
 from .sql import SQL  # noqa: F401  for the entry
 
@@ -55,9 +55,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark, sf_dir):
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark, sf_dir):
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clusters(spark, sf_dir):
     return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op7_suffix_dedup, op8_minhash_dedup, op9_secret_scan, op10_sharding, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_embedding_dedup, op3_quality, op4_decontaminate, op5_byte_bpe, op6_token_output, op7_suffix_dedup, op8_minhash_dedup, op9_secret_scan, op10_sharding, op11_structure_repair, op12_warc,
+                                  op13_centroid_clusters)}
 

@@ -6,6 +6,7 @@ from .centroids import K, ROUNDS, SCALE, SEED, WIDTH
 from .decontaminate import WINDOW
 from .embdedup import THRESHOLD
 from .neardup import WORDS, Rule
+from .repair import Costs
 from .secrets import BASE, RULES
 
 SQL: dict[str, str] = {}
@@ -87,3 +88,48 @@ SQL["op13_centroid_clusters"] = f"""WITH v AS MATERIALIZED (SELECT row_number()
     {_lloyd()}
     SELECT vec_id, best.j::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.j)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
       sha256(array_to_string(c{ROUNDS}.q, ',')) AS centroid_sha256 FROM last JOIN c{ROUNDS} ON c{ROUNDS}.j = best.j"""
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIVE = f"list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('{_BASE32}', 1 + ((('0x' || substr(h, 1 + 5 * i, 5))::BIGINT >> s) & 31)::INT, 1)))"
+SQL["op12_warc"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS nth, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+    SELECT page_id, payload_bytes, array_to_string(flatten({_FIVE}), '') AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first END AS refers_to FROM d"""
+
+_PATH = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of a text of ASCII characters, bit by bit."""
+    bits = "list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split({x}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+def _step(p: str, cost, letter: str, line: str | None = None) -> str:
+    return f"CASE WHEN {p} IS NOT NULL THEN {{'c': ({p}.c + {cost})::BIGINT, 'a': {p}.a || '{letter}', 't': {f'list_append({p}.t, {line})' if line else f'{p}.t'}}}::{_PATH} END"
+
+
+def _turns(c: Costs = Costs()) -> str:
+    stay, user, assistant = f"CASE WHEN cut THEN {c.truncated} ELSE 0 END", "'user:' || text", "'assistant:' || text"
+    can = lambda test, way: f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND {test} THEN {way} END"
+    keep = lambda p, x: can(f"initial = '{x}'", _step(p, stay, "K", "role || ':' || text"))
+    moved = lambda p, line: can("true", _step(p, f"{c.rerole} + {stay}", "R", line))
+    gone = lambda p: _step(p, c.delete, "D")
+    return f"""dp(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': []}}::{_PATH}, NULL::{_PATH}, NULL::{_PATH}, NULL::{_PATH} FROM (SELECT DISTINCT conv_id FROM faults)
+      UNION ALL SELECT conv_id, i, {gone('i0')}, list_min([{gone('i1')}, {keep('i0', 's')}]), list_min([{gone('i2')}, {keep('p', 'u')}, {moved('p', user)}]), list_min([{gone('i3')}, {keep('i2', 'a')}, {moved('i2', assistant)}]) FROM
+        (SELECT *, list_min([i0, i1, i3]) AS p FROM (SELECT *, list_min([s3, {_step('i2', c.insert, 'I', "'assistant:'")}]) AS i3 FROM (SELECT *, list_min([s2, {_step('q', c.insert, 'I', "'user:'")}]) AS i2 FROM
+          (SELECT f.*, s0, s0 AS i0, s1 AS i1, s2, s3, list_min([s0, s1, s3]) AS q FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)))))"""
+
+
+_BLANK = "[^\\x20\\x09-\\x0D]"
+SQL["op11_structure_repair"] = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+    d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+      regexp_extract(text, '({_BLANK})[\\x20\\x09-\\x0D]*$', 1) AS tail FROM d)),
+    faults AS MATERIALIZED (SELECT *, left(role, 1) AS initial, fault = 'truncated' AS cut FROM (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o)),
+    pairs AS (SELECT conv_id, count(*) AS n FROM (SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair, i FROM faults) WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+    {_turns()},
+    ends AS (SELECT dp.conv_id, list_min([s0, s3, {_step('s2', Costs().insert, 'I', "'assistant:'")}]) AS best FROM dp JOIN (SELECT conv_id, max(i) AS n FROM faults GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = l.n),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM faults GROUP BY conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(n, 0)::BIGINT AS illegal,
+      coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
