@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -24,6 +25,10 @@ class Decay:
     weak: float = 0.1
 
 
+#: Retrievability below which a memory is deleted.
+FORGOTTEN = 0.05
+
+
 @dataclass(frozen=True)
 class Gate:
     noise: float = 0.4
@@ -49,6 +54,14 @@ def stability(c: Decay = Decay()) -> Column:
     return F.greatest(F.lit(c.least), F.least(F.lit(c.most), s))
 
 
+def stability_of(access_count: int, importance: float, consolidated: bool, c: Decay = Decay()) -> float:
+    """F20 of one memory, for state that is kept row by row."""
+    s = c.base_days * (1 + c.access * math.log1p(access_count))
+    s *= c.importance if importance > 0.7 else 1.0
+    s *= c.consolidation if consolidated else 1.0
+    return max(c.least, min(c.most, s))
+
+
 def retrievability(as_of: str, c: Decay = Decay()) -> Column:
     """from the last access, or else from ``when_ts``."""
     return F.exp(-F.greatest(F.lit(0.0), days(as_of, F.coalesce("last_accessed", "when_ts"))) / stability(c))

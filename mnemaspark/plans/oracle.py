@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .. import lexicon as L
+from ..functions.decay import FORGOTTEN
+from ..operators.dream import REPLAY
 from ..operators.intent import groups
 from ..sources.fixtures import AS_OF, TEMPLATES
-from .queries import NATION, NEEDLE, QUESTION
+from .queries import FADED, NATION, NEEDLE, QUESTION
 
 SQL: dict[str, str] = {}
 
@@ -254,8 +256,8 @@ def _decay_sql():
     SQL["forget_signal"] = f"WITH {SIGNAL} SELECT id, round(s, 6) AS forget_signal FROM signals"
     SQL["forget_split"] = f"WITH {SIGNAL} SELECT s >= 0.3 AS forget, count(*) AS n FROM signals GROUP BY 1"
     SQL["accelerate_decay"] = f"WITH {MEM} SELECT id, importance * 0.5::DOUBLE AS importance FROM mem"
-    SQL["dream_cleanup"] = f"WITH {MEM} SELECT id FROM mem WHERE {RETRIEVED} >= 0.1"
-    SQL["dream_replay"] = f"WITH {MEM} SELECT id, importance FROM mem ORDER BY importance DESC, seq LIMIT 10"
+    SQL["dream_cleanup"] = f"WITH {MEM} SELECT id FROM mem WHERE {RETRIEVED} >= {FORGOTTEN}"
+    SQL["dream_replay"] = f"WITH {MEM} SELECT id, importance FROM mem ORDER BY importance DESC, seq LIMIT {REPLAY}"
 
 
 def _vector_sql():
@@ -264,6 +266,8 @@ def _vector_sql():
     SQL["cosine_topk"] = f"WITH {near} SELECT query_id, rank::INT AS rank, vec_id, round(sim, 6) AS sim FROM ranked WHERE rank <= 5"
     SQL["nearest_inherit"] = f"""WITH {near} SELECT query_id, vec_id, source AS place, lang, round(CASE quality WHEN 1 THEN 0.8 WHEN 0 THEN 0.2 ELSE 0.5 END::DOUBLE * 0.8::DOUBLE, 6) AS importance
       FROM ranked JOIN documents ON doc_id = vec_id LEFT JOIN labels USING (doc_id) WHERE rank = 1"""
+    SQL["access_stream"] = f"""WITH e AS (SELECT user_id * 100 + day(ts) AS id, ts FROM events), w AS (SELECT date_trunc('milliseconds', max(ts)) AS now FROM events), g AS (SELECT id, count(*) AS n, max(ts) AS l FROM e GROUP BY id)
+      SELECT id, n AS access_count, l AS last_accessed, exp(-((epoch_us(now) - epoch_us(l)) / 86400000000.0) / least(365.0, 7.0 * (1 + ln(1.0 + n)) * CASE WHEN id % 3 = 0 THEN 2.0 ELSE 1.0 END)) < {FADED} AS deleted FROM g, w"""
     SQL["access_log"] = "SELECT user_id, event_type, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id, event_type"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import decay as D
@@ -9,7 +11,8 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import dream, graph, intent, recall, validate, vector
 from ..sources import fixtures as X
-from ..sources import store
+from ..sources import shared, store
+from ..streaming import access_state
 
 QUERIES = {}
 c = F.col
@@ -394,3 +397,19 @@ def nearest_inherit(spark, d):
 @query
 def access_log(spark, d):
     return X.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("access_count"), F.max("ts").alias("last_accessed"))
+
+
+FADED = 0.3
+
+
+@query
+def access_stream(spark, d):
+    """A memory for each user and day, written at its first event and touched by each, kept by a stream that deletes what fades."""
+    event = X.read(spark, d, "events").select((c("user_id") * 100 + F.dayofmonth("ts")).alias("id"), "ts")
+    made = event.groupBy("id").agg(F.min("ts").alias("created_at")).selectExpr("id", "created_at", "created_at AS when_ts", "0.5D AS importance", "0 AS access_count", "CAST(NULL AS timestamp_ntz) AS last_accessed", "id % 3 = 0 AS is_summary", "CAST(array() AS array<string>) AS consolidated_from")
+    touch = event.select("id", F.lit("touch").alias("kind"), c("ts").cast("timestamp").alias("at"))
+    folder = f"{shared.ensure_checkpoint_dir(spark).rstrip('/')}/access-{uuid.uuid4().hex}"
+    access_state.writes(made).unionByName(touch, allowMissingColumns=True).write.parquet(f"{folder}/updates")
+    updates = spark.readStream.schema(access_state.UPDATE).parquet(f"{folder}/updates")
+    access_state.keep_access(updates, f"{folder}/table", f"{folder}/checkpoint", FADED).awaitTermination()
+    return access_state.current(spark, f"{folder}/table").select("id", "access_count", c("last_accessed").cast("timestamp_ntz").alias("last_accessed"), "deleted")
