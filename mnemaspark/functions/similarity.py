@@ -63,3 +63,15 @@ def similar_pairs(rows: DataFrame, key: list[str], tokens: str, threshold: float
 
 def prefix_size(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to so many places (at least one) by its exact binary value, ties to even; other roundings go by the shortest decimal that names it."""
+    whole, unit, scale = F.floor(x), 1 << 60, 10**places
+    scaled = (x - whole) * float(unit)
+    part = scaled.cast("bigint").cast("decimal(20,0)") * F.lit(scale).cast("decimal(10,0)")
+    low = F.floor(part / F.lit(unit).cast("decimal(20,0)")).cast("bigint")
+    rest = part - low.cast("decimal(20,0)") * F.lit(unit).cast("decimal(20,0)")
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    up = F.when((rest > half) | ((rest == half) & ((low % 2 == 1) | (scaled > F.floor(scaled)))), 1).otherwise(0)
+    return (whole * scale + low + up).cast("double") / scale

@@ -5,6 +5,8 @@ The first needs an equal name, so it is an equi-join. The second is the same for
 of equal (what, place): it is computed once for each such profile, and of a profile only
 the first k memories can enter a top-k that their names don't decide. Profiles are found by
 words and short stretches of characters, never by comparing all with all.
+
+Questions see the memories of their own ``namespace``; tables without that column are one namespace.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ LEAST = 0.3
 FIELDS = ("id", "seq", "who", "what", "why", "place", "importance")
 
 
+def spaced(rows: DataFrame) -> DataFrame:
+    return rows if "namespace" in rows.columns else rows.withColumn("namespace", F.lit("default"))
+
+
 def profiles(memories: DataFrame, k: int) -> DataFrame:
-    """(what, place, first): the k earliest memories of each content."""
-    order = Window.partitionBy("what", "place").orderBy("seq")
-    return memories.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(*FIELDS)
+    """The k earliest memories of each content of a namespace."""
+    order = Window.partitionBy("namespace", "what", "place").orderBy("seq")
+    return memories.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("namespace", *FIELDS)
 
 
 def _what_part() -> Column:
@@ -51,19 +57,19 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 def structural(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, score, memory columns) of structured questions."""
-    q = questions.filter(structured()).select("query_id", "intent.*").alias("q")
-    m = memories.select(*FIELDS)
+    q = spaced(questions).filter(structured()).select("query_id", "namespace", "intent.*").alias("q")
+    m = spaced(memories).select("namespace", *FIELDS)
     named = q.select("*", F.explode(F.array_distinct(F.transform("who", F.lower))).alias("name"))
-    has = m.select("id", F.explode(F.array_distinct(F.transform("who", F.lower))).alias("name"))
-    hits = named.join(has, "name").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    has = m.select("id", "namespace", F.explode(F.array_distinct(F.transform("who", F.lower))).alias("name"))
+    hits = named.join(has, ["namespace", "name"]).groupBy("query_id", "id").agg(F.count("*").alias("hits"))
     by_name = hits.join(q, "query_id").alias("h").join(m.alias("m"), F.col("h.id") == F.col("m.id"))
     by_name = by_name.select(F.col("h.query_id").alias("query_id"), F.struct("h.who", "h.what", "h.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"), "hits")
     # whether names are asked for decides the weight of a place, so it ranks contents apart; which names does not
-    asked = q.select("what", "query_type", _names_only().alias("who")).distinct()
-    content = candidates(asked, m, k).select(F.struct("q.who", "q.what", "q.query_type").alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m"))
+    asked = q.select("namespace", "what", "query_type", _names_only().alias("who")).distinct()
+    content = candidates(asked, m, k)
     # memories that need a name to reach the limit come by their names
     useful = content.withColumn("score", match_score(F.lit(0))).filter(F.col("score") >= LEAST)
-    rank = Window.partitionBy("q.what", "q.query_type", "q.who").orderBy(F.desc("score"), F.col("m.seq"))
+    rank = Window.partitionBy("q.namespace", "q.what", "q.query_type", "q.who").orderBy(F.desc("score"), F.col("m.seq"))
     useful = useful.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= k)
     by_what = _by_what(q, useful)
     scored = by_name.unionByName(by_what).withColumn("score", match_score(F.col("hits"))).filter(F.col("score") >= LEAST)
@@ -102,14 +108,15 @@ def wordings(asked: DataFrame, memories: DataFrame) -> DataFrame:
 
 
 def candidates(asked: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """Columns q.* (asked) and m.*: the first k memories of each content that may reach the limit without a name."""
+    """Structs q (asked) and m: the first k memories of each content that may reach the limit without a name."""
     first = profiles(memories, k)
     pairs = wordings(asked, memories)
-    by_word = asked.withColumn("low", F.lower("what")).join(pairs.withColumnRenamed("what", "low"), "low").alias("q").join(first.withColumn("low_text", F.lower("what")).alias("m"), F.col("q.text") == F.col("m.low_text"))
-    # a question for a place alone takes whatever has one: k rows against one
-    placed = memories.filter(~F.col("place").isin("", "default")).orderBy("seq").limit(k)
-    by_place = asked.filter("what = '' and query_type = 'location' and size(who) = 0").alias("q").crossJoin(placed.alias("m"))
-    cols = [F.struct(*[f"q.{c}" for c in ("what", "query_type", "who")]).alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m")]
+    by_word = asked.withColumn("low", F.lower("what")).join(pairs.withColumnRenamed("what", "low"), "low").alias("q").join(first.withColumn("low_text", F.lower("what")).alias("m"), F.expr("q.text = m.low_text and q.namespace = m.namespace"))
+    # a question for a place alone takes whatever has one: the first k of its namespace, which tasks cut before they are brought together
+    first_placed = Window.partitionBy("namespace").orderBy("seq")
+    placed = memories.filter(~F.col("place").isin("", "default")).withColumn("n", F.row_number().over(first_placed)).filter(F.col("n") <= k)
+    by_place = asked.filter("what = '' and query_type = 'location' and size(who) = 0").alias("q").join(placed.alias("m"), F.expr("q.namespace = m.namespace"))
+    cols = [F.struct(*[f"q.{c}" for c in ("namespace", "what", "query_type", "who")]).alias("q"), F.struct(*[f"m.{c}" for c in FIELDS]).alias("m")]
     return by_word.select(*cols).union(by_place.select(*cols))
 
 
@@ -119,9 +126,9 @@ def _names_only() -> Column:
 
 
 def _by_what(q: DataFrame, useful: DataFrame) -> DataFrame:
-    u = useful.select(F.col("q.what").alias("u_what"), F.col("q.query_type").alias("u_type"), (F.size("q.who") > 0).alias("u_named"), "m")
-    asked = q.select("query_id", "who", "what", "query_type")
-    joined = asked.join(u, (F.col("what") == F.col("u_what")) & (F.col("query_type") == F.col("u_type")) & ((F.size("who") > 0) == F.col("u_named")))
+    u = useful.select(F.col("q.namespace").alias("u_space"), F.col("q.what").alias("u_what"), F.col("q.query_type").alias("u_type"), (F.size("q.who") > 0).alias("u_named"), "m")
+    asked = q.select("query_id", "namespace", "who", "what", "query_type")
+    joined = asked.join(u, (F.col("namespace") == F.col("u_space")) & (F.col("what") == F.col("u_what")) & (F.col("query_type") == F.col("u_type")) & ((F.size("who") > 0) == F.col("u_named")))
     return joined.select("query_id", F.struct("who", "what", "query_type").alias("q"), "m", F.lit(0).cast("long").alias("hits"))
 
 
@@ -130,19 +137,19 @@ def semantic(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame
 
     Tokens of names join with single memories, those of content with profiles.
     """
-    asked = questions.select("query_id", recall_tokens(F.col("question")).alias("toks")).filter(F.size("toks") > 0)
-    token = asked.select("query_id", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    m = memories.select(*FIELDS)
-    own = m.select("id", "what", "place", F.explode(recall_tokens(F.concat_ws(" ", "who"))).alias("tok"))
+    asked = spaced(questions).select("query_id", "namespace", recall_tokens(F.col("question")).alias("toks")).filter(F.size("toks") > 0)
+    token = asked.select("query_id", "namespace", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    m = spaced(memories).select("namespace", *FIELDS)
+    own = m.select("id", "namespace", F.explode(recall_tokens(F.concat_ws(" ", "who"))).alias("tok"))
     text = F.array_distinct(recall_tokens(F.concat_ws(" ", "what", "place")))
-    by_content = token.join(m.select("what", "place").distinct().select("what", "place", F.explode(text).alias("tok")), "tok").groupBy("query_id", "what", "place").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    by_content = token.join(m.select("namespace", "what", "place").distinct().select("namespace", "what", "place", F.explode(text).alias("tok")), ["namespace", "tok"]).groupBy("query_id", "namespace", "what", "place").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
     likely = by_content.filter(F.col("hits") / F.col("n") >= LEAST)
     # the first k of the contents with most hits; names can only add to them
-    first = likely.join(profiles(m, k).select("id", "seq", "what", "place"), ["what", "place"]).withColumn("score", F.col("hits") / F.col("n"))
+    first = likely.join(profiles(m, k).select("id", "seq", "namespace", "what", "place"), ["namespace", "what", "place"]).withColumn("score", F.col("hits") / F.col("n"))
     from_content = _top(first, k).select("query_id", "id")
-    from_name = token.join(own, "tok").select("query_id", "id")
+    from_name = token.join(own, ["namespace", "tok"]).select("query_id", "id")
     pairs = from_content.union(from_name).distinct()
-    scored = pairs.join(asked, "query_id").join(m, "id")
+    scored = pairs.join(asked.drop("namespace"), "query_id").join(m, "id")
     score = F.size(F.array_intersect("toks", recall_tokens(F.concat_ws(" ", F.col("what"), F.concat_ws(" ", "who"), F.col("place"))))) / F.size("toks")
     return _top(scored.withColumn("score", score).filter(F.col("score") >= LEAST).select("query_id", "score", *FIELDS), k)
 

@@ -107,7 +107,12 @@ def intents(code: str) -> str:
 
 
 SURE = "confidence >= 0.5 AND (who <> '' OR what <> '' OR place <> '')"
-RECALL = f"""{intents('auto')}, {MEM},
+
+
+def recall_ctes(home: bool) -> str:
+    """CTEs to ``tiered``; with ``home`` each customer's question sees the memories of its own nation only."""
+    own = ("JOIN home ON home.query_id = p.query_id AND home.place = m.place", "JOIN home USING (query_id) JOIN ctok c ON c.place = home.place") if home else ("", "CROSS JOIN ctok c")
+    return f"""{intents('auto')}, {MEM}, home AS (SELECT c_custkey AS query_id, n_name AS place FROM customer JOIN nation ON c_nationkey = n_nationkey),
   contents AS (SELECT DISTINCT what, place FROM mem),
   wants AS (SELECT DISTINCT what FROM parsed WHERE {SURE}),
   parts AS (SELECT w.what AS want, m.what AS what, CASE WHEN w.what = '' THEN 0.0 WHEN contains(m.what, w.what) OR contains(w.what, m.what) THEN 0.3
@@ -115,11 +120,11 @@ RECALL = f"""{intents('auto')}, {MEM},
   weighed AS (SELECT p.query_id, m.id, m.seq,
       (CASE WHEN p.who <> '' THEN CASE WHEN lower(m.who[1]) = p.who THEN 0.5 ELSE 0.0 END ELSE 0.0 END + part + CASE WHEN p.query_type = 'location' AND m.place NOT IN ('', 'default') THEN 0.1 ELSE 0.0 END)::DOUBLE AS s,
       (CASE WHEN p.who <> '' THEN 0.5 ELSE 0.0 END + CASE WHEN p.what <> '' THEN 0.3 ELSE 0.0 END + CASE WHEN p.query_type = 'location' AND m.place NOT IN ('', 'default') THEN 0.1 ELSE 0.0 END)::DOUBLE AS w
-    FROM (SELECT * FROM parsed WHERE {SURE}) p JOIN parts ON parts.want = p.what JOIN mem m ON m.what = parts.what),
+    FROM (SELECT * FROM parsed WHERE {SURE}) p JOIN parts ON parts.want = p.what JOIN mem m ON m.what = parts.what {own[0]}),
   structural AS (SELECT query_id, id, seq, least(1.0, s / w) AS score, row_number() OVER (PARTITION BY query_id ORDER BY least(1.0, s / w) DESC, seq) AS rank FROM weighed WHERE w > 0 AND s / w >= 0.3 QUALIFY rank <= 5),
   qtok AS (SELECT query_id, {f1('question')} AS toks FROM asked),
   ctok AS (SELECT what, place, {f1("what || ' ' || place")} AS toks FROM contents),
-  over AS (SELECT query_id, what, place, len(list_intersect(q.toks, c.toks)) AS hits, list_filter(q.toks, lambda t: NOT list_contains(c.toks, t)) AS rest, len(q.toks) AS n FROM qtok q, ctok c WHERE len(q.toks) > 0),
+  over AS (SELECT query_id, what, c.place AS place, len(list_intersect(q.toks, c.toks)) AS hits, list_filter(q.toks, lambda t: NOT list_contains(c.toks, t)) AS rest, len(q.toks) AS n FROM qtok q {own[1]} WHERE len(q.toks) > 0),
   shared AS (SELECT query_id, id, seq, (hits + CASE WHEN list_contains(rest, lower(m.who[1])) THEN 1 ELSE 0 END)::DOUBLE / n AS score FROM over JOIN mem m USING (what, place)),
   semantic AS (SELECT query_id, id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM shared WHERE score >= 0.3 QUALIFY rank <= 5),
   few AS (SELECT query_id FROM asked LEFT JOIN (SELECT query_id, count(*) AS n FROM structural GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 2),
@@ -128,8 +133,11 @@ RECALL = f"""{intents('auto')}, {MEM},
   tiered AS (SELECT query_id, id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, rank) AS rank FROM tiers)"""
 
 
-def packed(tokens: int) -> str:
-    return f"""{RECALL}, lines AS (SELECT t.query_id, t.rank, concat_ws(' | ', m.who[1], m.what,
+RECALL = recall_ctes(home=False)
+
+
+def packed(tokens: int, home: bool = False) -> str:
+    return f"""{recall_ctes(home)}, lines AS (SELECT t.query_id, t.rank, concat_ws(' | ', m.who[1], m.what,
         CASE WHEN p.query_type = 'location' AND m.place NOT IN ('', 'default') THEN '@' || m.place END, CASE WHEN p.query_type = 'causal' AND m.why <> '' THEN '(' || m.why || ')' END) AS line
       FROM tiered t JOIN mem m USING (id) JOIN parsed p USING (query_id)),
     sums AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM lines),
@@ -239,6 +247,34 @@ def _validate_sql():
       SELECT count(*) FILTER (s AND w) AS tp, count(*) FILTER (s AND NOT w) AS fp, count(*) FILTER (NOT s AND w) AS fn, count(*) FILTER (NOT s AND NOT w) AS tn FROM j"""
 
 
+def exactly(x: str, places: int) -> str:
+    """Rounding by the exact binary value, ties to even."""
+    n, unit = f"((({x}) - floor({x})) * {1 << 60}::DOUBLE)::HUGEINT * {10**places}", 1 << 60
+    up = f"CASE WHEN {n} % {unit} > {unit // 2} OR ({n} % {unit} = {unit // 2} AND ({n} // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(floor({x})::HUGEINT * {10**places} + {n} // {unit} + {up})::DOUBLE / {10**places}"
+
+
+def _evaluate_sql():
+    each = f"""{packed(200, home=True)}, cust AS (SELECT c_custkey AS query_id, n_name AS namespace, replace(c_name, '#', '') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+      base AS (SELECT place AS namespace, count(*) AS n_memories, (sum(length('[' || who[1] || '] ' || what || ' @ ' || place)) + count(*) - 1)::BIGINT // 4 AS base_tokens FROM mem GROUP BY place),
+      hits AS (SELECT query_id, avg((m.who[1] = c.name)::INT) AS precision FROM tiered JOIN mem m USING (id) JOIN cust c USING (query_id) WHERE rank <= 5 GROUP BY query_id),
+      owned AS (SELECT query_id, count(m.id) AS relevant FROM cust JOIN mem m ON m.who[1] = name AND m.place = namespace GROUP BY query_id),
+      evaluated AS (SELECT namespace, query_id, n_memories, base_tokens, coalesce(length(packed) // 4, 0)::BIGINT AS tokens, coalesce(relevant, 0)::DOUBLE / least(5, n_memories) AS base_precision, coalesce(precision, 0.0) AS precision
+        FROM cust JOIN base USING (namespace) LEFT JOIN packs USING (query_id) LEFT JOIN hits USING (query_id) LEFT JOIN owned USING (query_id))"""
+    SQL["evaluate_questions"] = f"WITH {each} SELECT namespace, query_id, base_tokens, tokens, round(base_precision, 6) AS base_precision, round(precision, 6) AS precision FROM evaluated"
+    toks, neg = f2("what"), negated("what")
+    summed = f"""{each}, writes AS (SELECT query_id AS cid, namespace, name, query_id % 2 = 0 AS wanted, CASE WHEN query_id % 2 = 0 THEN 'order not finished priority 1-urgent' ELSE 'order finished priority 1-urgent' END AS what FROM cust),
+      known AS (SELECT what, {toks} AS toks, {neg} AS neg FROM (SELECT DISTINCT what FROM mem)), said AS (SELECT what, {toks} AS toks, {neg} AS neg FROM (SELECT DISTINCT what FROM writes)),
+      like_ AS (SELECT s.what AS w, k.what AS m, {jaccard('s.toks', 'k.toks')} AS o, s.neg <> k.neg AS opposed FROM said s, known k),
+      caught AS (SELECT DISTINCT cid FROM writes w JOIN mem m ON m.who[1] = w.name AND m.place = w.namespace JOIN like_ ON like_.w = w.what AND like_.m = m.what WHERE o >= 0.85 OR (o >= 0.3 AND opposed)),
+      labelled AS (SELECT namespace, wanted, cid IN (SELECT cid FROM caught) AS got FROM writes),
+      counts AS (SELECT namespace, count(*) FILTER (wanted AND got) AS tp, count(*) FILTER (wanted AND NOT got) AS fn, count(*) FILTER (NOT wanted AND got) AS fp, count(*) FILTER (NOT wanted AND NOT got) AS tn FROM labelled GROUP BY namespace),
+      summed AS (SELECT namespace, any_value(n_memories) AS n_memories, count(*) AS n_queries, sum(base_tokens)::BIGINT AS base_tokens, sum(tokens)::BIGINT AS tokens, {exactly('avg(base_precision)', 3)} AS base_precision, {exactly('avg(precision)', 3)} AS precision FROM evaluated GROUP BY namespace),
+      summaries AS (SELECT *, {exactly('(base_tokens - tokens) / base_tokens * 100', 1)} AS savings_pct, {exactly('tp / greatest(1, tp + fn) * 100', 1)} AS detection_pct FROM summed JOIN counts USING (namespace))"""
+    SQL["evaluate_scenarios"] = f"WITH {summed} SELECT * FROM summaries"
+    SQL["evaluate_overall"] = f"WITH {summed} SELECT count(*) AS n_scenarios, {exactly('avg(savings_pct)', 1)} AS savings_pct, {exactly('avg(base_precision)', 3)} AS base_precision, {exactly('avg(precision)', 3)} AS precision, {exactly('avg(detection_pct)', 1)} AS detection_pct FROM summaries"
+
+
 def _decay_sql():
     SQL["effective_stability"] = f"WITH {MEM} SELECT id, round({STABILITY}, 6) AS stability FROM mem"
     SQL["retrievability"] = f"WITH {MEM} SELECT id, round({RETRIEVED}, 6) AS retrievability FROM mem"
@@ -271,5 +307,5 @@ def _vector_sql():
     SQL["access_log"] = "SELECT user_id, event_type, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id, event_type"
 
 
-for _part in (_text_sql, _lookup_sql, _recall_sql, _validate_sql, _decay_sql, _vector_sql):
+for _part in (_text_sql, _lookup_sql, _recall_sql, _validate_sql, _evaluate_sql, _decay_sql, _vector_sql):
     _part()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import decay as D
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import dream, graph, intent, recall, validate, vector
+from ..operators import dream, evaluate, graph, intent, recall, validate, vector
 from ..sources import fixtures as X
 from ..sources import shared, store
 from ..streaming import access_state
@@ -307,6 +307,41 @@ def accept_in_order(spark, d):
     return validate.accept_in_order(X.mem_orders(spark, d))
 
 
+# ---- evaluation ---------------------------------------------------------------------------
+
+
+def _scenarios(spark, d):
+    """A scenario for each nation: its customers' orders, a question about each customer, and a write about each, every second one a denial."""
+    memories = X.mem_orders(spark, d).withColumn("namespace", c("place"))
+    customers = X.read(spark, d, "customer").join(F.broadcast(X.read(spark, d, "nation")), F.expr("c_nationkey = n_nationkey")).select(c("c_custkey").alias("query_id"), c("n_name").alias("namespace"), F.expr("array(replace(c_name, '#', ''))").alias("relevant_who"))
+    questions = X.questions(spark, d).join(customers, "query_id")
+    denial = c("query_id") % 2 == 0
+    what = F.when(denial, "order not finished priority 1-urgent").otherwise("order finished priority 1-urgent")
+    candidates = customers.select("namespace", c("query_id").alias("id"), c("query_id").alias("seq"), c("relevant_who").alias("who"), what.alias("what"), c("namespace").alias("place"), F.lit(None).cast("timestamp_ntz").alias("when_ts"), denial.alias("should_block"))
+    return memories, questions, candidates
+
+
+@query
+def evaluate_questions(spark, d):
+    memories, questions, _ = _scenarios(spark, d)
+    return evaluate.by_question(memories, questions).select("namespace", "query_id", "base_tokens", "tokens", six(c("base_precision")).alias("base_precision"), six(c("precision")).alias("precision"))
+
+
+def _summaries(spark, d):
+    memories, questions, candidates = _scenarios(spark, d)
+    return evaluate.by_scenario(evaluate.by_question(memories, questions), evaluate.detections(memories, candidates))
+
+
+@query
+def evaluate_scenarios(spark, d):
+    return _summaries(spark, d)
+
+
+@query
+def evaluate_overall(spark, d):
+    return evaluate.overall(_summaries(spark, d))
+
+
 # ---- forgetting ---------------------------------------------------------------------------
 
 
