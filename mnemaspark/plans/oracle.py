@@ -296,6 +296,28 @@ def _decay_sql():
     SQL["dream_replay"] = f"WITH {MEM} SELECT id, importance FROM mem ORDER BY importance DESC, seq LIMIT {REPLAY}"
 
 
+def merging(rows: str) -> str:
+    """CTEs mem, merged (id, leader, best) of ``rows`` by greedy leaders, a memory at a time, and clusters of two or more only."""
+    alike = "len(list_intersect(l.toks, b.toks)) >= 0.85 * (len(l.toks) + len(b.toks) - len(list_intersect(l.toks, b.toks)))"
+    return f"""{MEM}, kept AS MATERIALIZED ({rows}),
+      b AS MATERIALIZED (SELECT id, seq, place, who[1] AS w, length(what) AS size, {f3('what')} AS toks, row_number() OVER (PARTITION BY place, who[1] ORDER BY seq) AS i FROM kept),
+      led(place, w, i, leaders, id, leader) AS (SELECT place, w, i, [{{'id': id, 'toks': toks}}], id, id FROM b WHERE i = 1 UNION ALL
+        SELECT place, w, i, CASE WHEN hit IS NULL THEN list_append(leaders, {{'id': id, 'toks': toks}}) ELSE leaders END, id, coalesce(hit, id) FROM
+          (SELECT b.*, leaders, list_filter(leaders, lambda l: {alike})[1].id AS hit FROM led JOIN b ON b.place = led.place AND b.w = led.w AND b.i = led.i + 1)),
+      best AS (SELECT leader, list(led.id ORDER BY size DESC, seq)[1] AS best FROM led JOIN b ON b.id = led.id GROUP BY leader HAVING count(*) > 1),
+      merged AS (SELECT id, best FROM led JOIN best USING (leader))"""
+
+
+def _dream_sql():
+    SQL["dream_consolidate"] = f"WITH RECURSIVE {merging('SELECT * FROM mem')} SELECT id, best AS consolidated_into FROM merged WHERE id <> best"
+    cycle = f"""{merging(f'SELECT * FROM mem WHERE {RETRIEVED} >= {FORGOTTEN}')},
+      after AS (SELECT k.id, k.seq, CASE WHEN k.id = m.best THEN least(1.0, k.importance + 0.05::DOUBLE) ELSE k.importance END AS importance, k.access_count, k.last_accessed, CASE WHEN k.id <> m.best THEN m.best END AS consolidated_into FROM kept k LEFT JOIN merged m USING (id)),
+      again AS (SELECT id FROM after WHERE consolidated_into IS NULL ORDER BY importance DESC, seq LIMIT {REPLAY})"""
+    SQL["dream_cycle"] = f"WITH RECURSIVE {cycle} SELECT (SELECT count(*) FROM mem) - (SELECT count(*) FROM kept) AS n_cleaned, (SELECT count(*) FROM merged WHERE id <> best) AS n_consolidated, (SELECT count(*) FROM again) AS n_replayed"
+    SQL["dream_memories"] = f"""WITH RECURSIVE {cycle} SELECT a.id, round(importance, 6) AS importance, (access_count + CASE WHEN g.id IS NULL THEN 0 ELSE 1 END)::INT AS access_count,
+      CASE WHEN g.id IS NULL THEN last_accessed ELSE TIMESTAMP '{AS_OF}' END AS last_accessed, consolidated_into FROM after a LEFT JOIN again g ON g.id = a.id"""
+
+
 def _vector_sql():
     near = """sims AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM sims WHERE sim >= 0.3)"""
@@ -307,5 +329,5 @@ def _vector_sql():
     SQL["access_log"] = "SELECT user_id, event_type, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY user_id, event_type"
 
 
-for _part in (_text_sql, _lookup_sql, _recall_sql, _validate_sql, _evaluate_sql, _decay_sql, _vector_sql):
+for _part in (_text_sql, _lookup_sql, _recall_sql, _validate_sql, _evaluate_sql, _decay_sql, _dream_sql, _vector_sql):
     _part()

@@ -410,6 +410,13 @@ def dream_cycle(spark, d):
     return dream.cycle(X.mem_orders(spark, d), X.AS_OF)
 
 
+@query
+def dream_memories(spark, d):
+    """The memories after a whole cycle: forgotten ones gone, near-copies merged, the most important touched."""
+    got = dream.run_cycle(X.mem_orders(spark, d), X.AS_OF).memories
+    return got.select("id", six(c("importance")).alias("importance"), "access_count", "last_accessed", "consolidated_into")
+
+
 # ---- vectors and access -------------------------------------------------------------------
 
 

@@ -58,8 +58,13 @@ def save(tables: dict[str, DataFrame], path: str, namespace: str = "default") ->
     for k, df in tables.items():
         own = F.coalesce("namespace", F.lit(namespace)) if "namespace" in df.columns else F.lit(namespace)
         df.withColumn("namespace", own).write.json(f"{path}/{version}/{k}")
+    point(spark, path, version)
+
+
+def point(spark: SparkSession, path: str, version: str) -> None:
+    """Makes ``version`` the current one of ``path``: the file that names it is replaced by one rename."""
     jvm, gateway, conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
-    fs, new = _at(spark, f"{path}/_{version}")
+    fs, new = _at(spark, f"{path}/_{version}-{uuid.uuid4().hex}")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
