@@ -166,6 +166,13 @@ def tiered(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
     return first.unionByName(second).withColumn("rank", F.row_number().over(order))
 
 
+def metrics(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
+    """(query_id, query_type, confidence, lang, structural_match_count, semantic_fallback_count) of every question, also of those that find nothing."""
+    counts = tiered(questions, memories, k).groupBy("query_id").agg(F.count_if(F.col("tier") == "structural").alias("s"), F.count_if(F.col("tier") == "semantic").alias("f"))
+    asked = questions.select("query_id", "intent.query_type", "intent.confidence", "lang").join(counts, "query_id", "left")
+    return asked.select("query_id", "query_type", "confidence", "lang", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("s", "structural_match_count"), ("f", "semantic_fallback_count"))])
+
+
 def line() -> Column:
     """One memory of a pack; columns query_type and the memory's own."""
     at = F.when((F.col("query_type") == "location") & ~F.col("place").isin("", "default"), F.concat(F.lit("@"), F.col("place")))

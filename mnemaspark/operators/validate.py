@@ -77,6 +77,12 @@ def validate(new: DataFrame, old: DataFrame, entities: DataFrame, policy: str =
     return found.select("id", status.alias("status"), level.alias("level"), "conflict_id", "similar_id", downgraded.alias("downgraded_from"))
 
 
+def unvalidated(rows: DataFrame) -> DataFrame:
+    """Result rows of writes that were not judged."""
+    kind = dict(rows.dtypes)["id"]
+    return rows.select("id", *[F.lit(None).cast(t).alias(n) for n, t in (("status", "string"), ("level", "string"), ("conflict_id", kind), ("similar_id", kind), ("downgraded_from", "string"))])
+
+
 def validator_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "WARN", "BLOCKED")])
 

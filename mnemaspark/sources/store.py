@@ -92,12 +92,51 @@ def upsert(rows: DataFrame, key: list[str], write: str) -> DataFrame:
 
 
 def normalised(rows: DataFrame) -> DataFrame:
-    """What the constructor makes of who, what, place and importance; ``valid`` is false where it would refuse."""
+    """What the constructor makes of a memory's columns, those that are there; ``valid`` is false where it would refuse.
+
+    Contents are stripped, participants too and blank ones dropped, an empty place is the
+    default, a time given as text is read as ISO and is ``now`` where it can't be.
+    """
     who = F.filter(F.transform(F.coalesce("who", F.array().cast("array<string>")), stripped), lambda w: w != "")
     place: Column = F.when(F.coalesce("place", F.lit("")) == "", "default").otherwise(F.col("place"))
     what = stripped(F.col("what"))
     valid = (what != "") & F.coalesce(F.col("importance").between(0.0, 1.0), F.lit(False))
-    return rows.withColumns({"who": who, "what": what, "place": place, "valid": valid})
+    more = {c: F.coalesce(c, F.lit("")) for c in ("why", "how") if c in rows.columns}
+    if "when_ts" in rows.columns:
+        when = F.col("when_ts")
+        more["when_ts"] = F.coalesce(F.try_to_timestamp(when).cast("timestamp_ntz") if rows.schema["when_ts"].dataType.typeName() == "string" else when, F.localtimestamp())
+    return rows.withColumns({"who": who, "what": what, "place": place, **more, "valid": valid})
+
+
+def inherited(writes: DataFrame, memories: DataFrame) -> DataFrame:
+    """what a write leaves open comes from the memory whose id is its ``similar_to``, if it has one.
+
+    The place where it is the default, the language where there is none, participants where there
+    are none, and 0.8 of the importance where that is the default of 0.5. A reference to a memory that isn't
+    there gives nothing.
+    """
+    if "similar_to" not in writes.columns:
+        return writes
+    ref = memories.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("who", "place", "importance", "lang")])
+    known = F.col("_id").isNotNull()
+    open_who = F.size(F.coalesce("who", F.array().cast("array<string>"))) == 0
+    rows = writes.join(ref, F.col("similar_to") == F.col("_id"), "left").withColumns({
+        "who": F.when(known & open_who, F.col("_who")).otherwise(F.col("who")), "place": F.when(known & (F.coalesce(F.nullif("place", F.lit("")), F.lit("default")) == "default"), F.col("_place")).otherwise(F.col("place")),
+        "importance": F.when(known & (F.col("importance") == 0.5), F.col("_importance") * 0.8).otherwise(F.col("importance")),
+        **({"lang": F.coalesce("lang", "_lang")} if "lang" in writes.columns else {})})
+    return rows.select(*[c for c in writes.columns if c != "similar_to"])
+
+
+def from_text(texts: DataFrame, memories: DataFrame) -> DataFrame:
+    """Memories of plain texts (id, seq, text, importance, similar_to): place, way, language and 0.8 of the importance of the reference, never its participants.
+
+    Without a reference the place is the default and the importance is the text's own.
+    """
+    ref = memories.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("place", "how", "importance", "lang")])
+    known = F.col("_id").isNotNull()
+    return texts.join(ref, F.col("similar_to") == F.col("_id"), "left").select(
+        "id", "seq", F.array().cast("array<string>").alias("who"), F.col("text").alias("what"), F.lit("").alias("why"), F.coalesce("_place", F.lit("default")).alias("place"), F.coalesce("_how", F.lit("")).alias("how"),
+        F.when(known, F.col("_importance") * 0.8).otherwise(F.coalesce("importance", F.lit(0.5))).alias("importance"), F.col("_lang").alias("lang"))
 
 
 def pair_turns(conversations: DataFrame) -> DataFrame:
