@@ -167,10 +167,18 @@ def tiered(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
 
 
 def metrics(questions: DataFrame, memories: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, query_type, confidence, lang, structural_match_count, semantic_fallback_count) of every question, also of those that find nothing."""
-    counts = tiered(questions, memories, k).groupBy("query_id").agg(F.count_if(F.col("tier") == "structural").alias("s"), F.count_if(F.col("tier") == "semantic").alias("f"))
-    asked = questions.select("query_id", "intent.query_type", "intent.confidence", "lang").join(counts, "query_id", "left")
-    return asked.select("query_id", "query_type", "confidence", "lang", *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("s", "structural_match_count"), ("f", "semantic_fallback_count"))])
+    """(query_id, query_type, confidence, lang, structural_match_count, semantic_fallback_count) of every question.
+
+    A count is null where its tier was not asked: the structural one of an unstructured question,
+    the fallback's of one with two structural matches. What both tiers find counts in both.
+    """
+    ensure_checkpoint_dir(questions.sparkSession)
+    count = lambda rows, name: rows.groupBy("query_id").agg(F.count("*").alias(name))
+    first = count(structural(questions, memories, k), "s").checkpoint()
+    few = questions.join(first.filter("s >= 2"), "query_id", "left_anti")
+    rows = questions.select("query_id", "intent.query_type", "intent.confidence", "lang", structured().alias("asked")).join(first, "query_id", "left").join(count(semantic(few, memories, k), "f"), "query_id", "left")
+    none = F.coalesce("s", F.lit(0))
+    return rows.select("query_id", "query_type", "confidence", "lang", F.when(F.col("asked"), none).alias("structural_match_count"), F.when(none < 2, F.coalesce("f", F.lit(0))).alias("semantic_fallback_count"))
 
 
 def line() -> Column:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import jaccard
+from ..functions.similarity import cosine, jaccard
 from ..functions.text import has_negation, stripped, validator_tokens
 from ..sources.shared import ensure_checkpoint_dir
 
 SIMILAR, WHO_OVERLAP, WHAT_OVERLAP = 0.85, 0.5, 0.3
+#: Vectors less alike than this say the opposite, where words and participants say the same.
+UNLIKE = 0.4
 PREPARED = ("id", "seq", "who", "what", "why", "place")
 
 
@@ -44,18 +46,42 @@ def overlapping(new: DataFrame, old: DataFrame, named_only: bool = False) -> Dat
 
 def ambiguous(memories: DataFrame, entities: DataFrame, name: str = "who") -> DataFrame:
     """(id, n_candidates) of memories of which a participant's name is that of several entities."""
-    names = memories.select("id", F.explode(name).alias("w")).select("id", F.lower("w").alias("w"))
+    return _homonyms(memories, entities, name).groupBy("id").agg(F.sum("n").alias("n_candidates"))
+
+
+def candidates(memories: DataFrame, entities: DataFrame, name: str = "who") -> DataFrame:
+    """(id, ambiguous_ids): the entities that the names may mean, in order of the participants, then of the ids."""
+    named = _homonyms(memories, entities, name).select("id", "at", "w")
+    each = named.join(entities.select(F.lower("name").alias("w"), F.col("id").alias("entity")), "w")
+    return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "entity"))).alias("e")).select("id", F.col("e.entity").alias("ambiguous_ids"))
+
+
+def _homonyms(memories: DataFrame, entities: DataFrame, name: str) -> DataFrame:
+    names = memories.select("id", F.posexplode(name).alias("at", "w")).select("id", "at", F.lower("w").alias("w"))
     known = entities.groupBy(F.lower("name").alias("w")).agg(F.count("*").alias("n")).filter("n > 1")
-    return names.join(known, "w").groupBy("id").agg(F.sum("n").alias("n_candidates"))
+    return names.join(known, "w")
 
 
 def _conflict():
     return (F.col("who_overlap") >= WHO_OVERLAP) & (F.col("what_overlap") >= WHAT_OVERLAP) & F.col("opposed")
 
 
+def compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """V3: ``pairs`` with ``unlike``: same participants and words, no denial, but vectors (id, vector) that are less than UNLIKE alike.
+
+    Only such pairs meet the vectors. A pair of which one has none, or is of another length, is taken for alike.
+    """
+    asks = (F.col("who_overlap") >= WHO_OVERLAP) & (F.col("what_overlap") >= WHAT_OVERLAP) & ~F.col("opposed")
+    x, y = (vectors.select(F.col("id").alias(n), F.col("vector").alias(f"v{n}")) for n in "ab")
+    near = F.when(F.size("va") == F.size("vb"), cosine(F.col("va"), F.col("vb")))
+    far = pairs.filter(asks).select("a", "b").join(x, "a").join(y, "b").filter(near < UNLIKE).select("a", "b", F.lit(True).alias("unlike"))
+    return pairs.join(far, ["a", "b"], "left").withColumn("unlike", F.coalesce("unlike", F.lit(False)))
+
+
 def judged(pairs: DataFrame) -> DataFrame:
-    """(id, similar_id, similarity, conflict_id): the most similar earlier memory over the limit and the first that contradicts."""
-    conflict = _conflict()
+    """(id, similar_id, similarity, conflict_id, and of the conflict both overlaps and whether by vectors): the most similar earlier memory over the limit and the first that contradicts."""
+    by_vector = F.col("unlike") if "unlike" in pairs.columns else F.lit(False)
+    conflict = _conflict() | by_vector
     # redundancy is looked for up to the first conflict only
     first = pairs.groupBy("a").agg(F.min(F.when(conflict, F.col("sb"))).alias("stop"))
     seen = pairs.join(first, "a").filter(F.col("stop").isNull() | (F.col("sb") <= F.col("stop")))
@@ -63,18 +89,27 @@ def judged(pairs: DataFrame) -> DataFrame:
     return seen.groupBy(F.col("a").alias("id")).agg(
         F.max_by(F.when(near, F.col("b")), F.when(near, F.struct("what_overlap", -F.col("sb")))).alias("similar_id"),
         F.max(F.when(near, F.col("what_overlap"))).alias("similarity"),
-        F.min_by(F.when(conflict, F.col("b")), F.when(conflict, F.col("sb"))).alias("conflict_id"))
+        F.min_by(F.when(conflict, F.struct(F.col("b").alias("conflict_id"), "who_overlap", "what_overlap", (by_vector & ~F.col("opposed")).alias("by_vector"))), F.when(conflict, F.col("sb"))).alias("c"),
+    ).select("id", "similar_id", "similarity", "c.*")
 
 
-def validate(new: DataFrame, old: DataFrame, entities: DataFrame, policy: str = "WARN") -> DataFrame:
-    """V1 and V2: (id, status, level, conflict_id, similar_id) of every write."""
-    found = new.select("id", "what", "when_ts").join(judged(overlapping(new, old)), "id", "left").join(ambiguous(new, entities), "id", "left")
+def validate(new: DataFrame, old: DataFrame, entities: DataFrame, policy: str = "WARN", vectors: DataFrame | None = None, explain: bool = False) -> DataFrame:
+    """V1 and V2: (id, status, level, conflict_id, similar_id, downgraded_from) of every write.
+
+    With ``vectors`` (id, vector, of new and old) V3 as well, whose conflicts have the level
+    embedding. With ``explain`` also overlaps, similarity and the ids of ambiguous entities.
+    """
+    pairs = overlapping(new, old)
+    found = new.select("id", "what", "when_ts").join(judged(pairs if vectors is None else compared(pairs, vectors)), "id", "left").join(ambiguous(new, entities), "id", "left")
     level = (
-        F.when(stripped(F.col("what")) == "", "schema").when(F.col("conflict_id").isNotNull(), "contradiction").when(F.col("similar_id").isNotNull(), "redundancy")
+        F.when(stripped(F.col("what")) == "", "schema").when(F.col("by_vector"), "embedding").when(F.col("conflict_id").isNotNull(), "contradiction").when(F.col("similar_id").isNotNull(), "redundancy")
         .when(F.col("n_candidates").isNotNull(), "ambiguity").when(F.year("when_ts") > 2200, "date").otherwise("none"))
-    status = F.when(level == "none", "OK").when(level.isin("schema", "contradiction"), "WARN" if policy == "WARN" else "BLOCKED").otherwise("WARN")
-    downgraded = F.when(level.isin("schema", "contradiction") & F.lit(policy == "WARN"), "BLOCKED")
-    return found.select("id", status.alias("status"), level.alias("level"), "conflict_id", "similar_id", downgraded.alias("downgraded_from"))
+    status = F.when(level == "none", "OK").when(level.isin("schema", "contradiction", "embedding"), "WARN" if policy == "WARN" else "BLOCKED").otherwise("WARN")
+    downgraded = F.when(level.isin("schema", "contradiction", "embedding") & F.lit(policy == "WARN"), "BLOCKED")
+    more = ["who_overlap", "what_overlap", "similarity", "ambiguous_ids"] if explain else []
+    if explain:
+        found = found.join(candidates(new, entities), "id", "left")
+    return found.select("id", status.alias("status"), level.alias("level"), "conflict_id", "similar_id", downgraded.alias("downgraded_from"), *more)
 
 
 def unvalidated(rows: DataFrame) -> DataFrame:

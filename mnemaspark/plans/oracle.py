@@ -214,8 +214,11 @@ def _lookup_sql():
     SQL["memory_normalize"] = r"""SELECT doc_id, array_to_string(list_sort([lang, trim(source)]), ' ') AS who, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS what_md5, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'default' END AS place,
       regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' AND n_chars / 10000.0::DOUBLE BETWEEN 0 AND 1 AS valid FROM documents"""
     SQL["export_record"] = f"WITH {MEM} SELECT id, who[1] AS who, what, place, round(round_even(importance, 3), 6) AS importance, access_count FROM mem"
-    SQL["inherit_similar"] = f"""WITH {MEM}, near AS (SELECT place, arg_min(id, seq) AS ref, arg_min(importance, seq) AS i FROM mem GROUP BY place)
-      SELECT id, ref, CASE WHEN importance = 0.5 THEN i * 0.8::DOUBLE ELSE importance END AS importance FROM mem JOIN near USING (place)"""
+    SQL["inherit_similar"] = f"""WITH {MEM}, near AS (SELECT place, arg_min(id, seq) AS ref, arg_min(importance, seq) AS i, arg_min(who[1], seq) AS w FROM mem GROUP BY place)
+      SELECT id, ref, CASE WHEN id % 2 = 0 THEN w ELSE who[1] END AS who, place, CASE WHEN id % 5 = 0 OR importance = 0.5 THEN i * 0.8::DOUBLE ELSE importance END AS importance FROM mem JOIN near USING (place)"""
+    SQL["memory_documents"] = f"WITH {MEM} SELECT id, who[1] AS who, what, why, when_ts, place, how, importance, access_count, last_accessed, when_ts AS created_at FROM mem"
+    SQL["entity_documents"] = "SELECT p_partkey AS id, 'part' AS type, p_name AS name, p_brand || '|' || p_type AS identifiers FROM part"
+    SQL["relation_documents"] = f"WITH {REL} SELECT order_id || '/' || line AS id, from_id::VARCHAR AS from_id, relation_type, to_id::VARCHAR AS to_id, 0.5::DOUBLE AS strength, polarity FROM rel"
 
 
 def _recall_sql():
@@ -224,6 +227,9 @@ def _recall_sql():
     SQL["intent_auto"] = f"WITH {intents('auto')} SELECT query_id, lang, query_type, {SURE} AS is_structured FROM parsed"
     for tier in ("structural", "semantic"):
         SQL[f"recall_{tier}"] = f"WITH {RECALL} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM {tier}"
+    SQL["intent_documents"] = f"WITH {intents('auto')} SELECT query_id, who, what, place, query_type, confidence, question AS raw_query, lang FROM parsed"
+    SQL["recall_metrics"] = f"""WITH {RECALL} SELECT query_id, query_type, confidence, lang, CASE WHEN {SURE} THEN coalesce(n, 0) END AS structural_match_count, CASE WHEN coalesce(n, 0) < 2 THEN coalesce(f, 0) END AS semantic_fallback_count
+      FROM parsed LEFT JOIN (SELECT query_id, count(*) AS n FROM structural GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS f FROM semantic GROUP BY query_id) USING (query_id)"""
     SQL["recall_tiered"] = f"WITH {RECALL} SELECT query_id, rank::INT AS rank, tier, id FROM tiered"
     SQL["recall_packed"] = f"WITH {packed(30)} SELECT query_id, packed, (length(packed) // 4)::INT AS tokens FROM packs"
     qt, mt = f1("question"), f1("m.what || ' ' || m.why")
@@ -245,6 +251,9 @@ def _validate_sql():
     SQL["validator_stats"] = f"WITH {status('BLOCK')} SELECT count(*) AS total, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'BLOCKED') AS blocked FROM results"
     SQL["confusion_counts"] = f"""WITH {status('BLOCK')}, j AS (SELECT status = 'BLOCKED' AS s, starts_with(what, 'order not') AS w FROM results JOIN mem USING (id))
       SELECT count(*) FILTER (s AND w) AS tp, count(*) FILTER (s AND NOT w) AS fp, count(*) FILTER (NOT s AND w) AS fn, count(*) FILTER (NOT s AND NOT w) AS tn FROM j"""
+    SQL["validate_embedding"] = f"""WITH {OVERLAP}, model AS (SELECT m.id, embedding::DOUBLE[] AS v FROM mem m JOIN embeddings ON vec_id = length(what) * 7),
+      firsts AS (SELECT a AS id, arg_min({{'b': b, 'opposed': opposed}}, sb) AS c FROM pairs JOIN model x ON x.id = a JOIN model y ON y.id = b WHERE what_overlap >= 0.3 AND (opposed OR list_cosine_similarity(x.v, y.v) < 0.4) GROUP BY a)
+      SELECT id, 'BLOCKED' AS status, c.b AS conflict_id FROM firsts WHERE NOT c.opposed"""
 
 
 def exactly(x: str, places: int) -> str:

@@ -11,7 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import dream, evaluate, graph, intent, recall, validate, vector
 from ..sources import fixtures as X
-from ..sources import shared, store
+from ..sources import export, shared, store
 from ..streaming import access_state
 
 QUERIES = {}
@@ -165,9 +165,38 @@ def export_record(spark, d):
 
 @query
 def inherit_similar(spark, d):
+    """Writes that leave participants, place and importance open in turn, each beside the first order of its nation."""
     m = X.mem_orders(spark, d)
-    near = m.groupBy("place").agg(F.min_by("id", "seq").alias("ref"), F.min_by("importance", "seq").alias("ref_importance"))
-    return m.select("id", "place", "importance").join(near, "place").select("id", "ref", F.when(c("importance") == 0.5, c("ref_importance") * 0.8).otherwise(c("importance")).alias("importance"))
+    near = m.groupBy("place").agg(F.min_by("id", "seq").alias("similar_to"))
+    left = m.join(near, "place").withColumns({
+        "who": F.when(c("id") % 2 == 0, F.array().cast("array<string>")).otherwise(c("who")), "place": F.when(c("id") % 3 == 0, "default").otherwise(c("place")), "importance": F.when(c("id") % 5 == 0, 0.5).otherwise(c("importance"))})
+    got = store.inherited(left, m)
+    return got.join(left.select("id", c("similar_to").alias("ref")), "id").select("id", "ref", T.listed(c("who")).alias("who"), "place", "importance")
+
+
+@query
+def memory_documents(spark, d):
+    """Memories written as documents and read again."""
+    back = export.memories_read(export.memory_documents(X.mem_orders(spark, d)), X.AS_OF)
+    return back.select(c("id").cast("long").alias("id"), T.listed(c("who")).alias("who"), "what", "why", "when_ts", "place", "how", "importance", "access_count", "last_accessed", "created_at")
+
+
+@query
+def entity_documents(spark, d):
+    back = export.entities_read(export.entity_documents(X.entities(spark, d)))
+    return back.select(c("id").cast("long").alias("id"), "type", "name", F.array_join("identifiers", "|").alias("identifiers"))
+
+
+@query
+def relation_documents(spark, d):
+    rows = X.relations(spark, d).withColumn("id", F.concat_ws("/", c("order_id").cast("string"), c("line").cast("string")))
+    return export.relations_read(export.relation_documents(rows)).select("id", "from_id", "relation_type", "to_id", "strength", "polarity")
+
+
+@query
+def intent_documents(spark, d):
+    back = export.intents_read(export.intent_documents(_asked(spark, d)))
+    return back.select("query_id", T.listed(c("who")).alias("who"), "what", c("where").alias("place"), "query_type", "confidence", "raw_query", "lang")
 
 
 # ---- intents and recall -------------------------------------------------------------------
@@ -283,6 +312,20 @@ def _judged(spark, d, policy):
     return validate.validate(m, m, _things(spark, d), policy)
 
 
+@query
+def validate_embedding(spark, d):
+    """Conflicts by vectors: contents that a table of vectors, taken as the model, holds for opposite."""
+    m = X.mem_orders(spark, d)
+    model = X.read(spark, d, "embeddings").select(c("vec_id").alias("n"), c("embedding").cast("array<double>").alias("vector"))
+    vectors = m.select("id", (F.length("what") * 7).cast("long").alias("n")).join(model, "n").select("id", "vector")
+    return validate.validate(m, m, _things(spark, d), "BLOCK", vectors).filter("level = 'embedding'").select("id", "status", "conflict_id")
+
+
+@query
+def recall_metrics(spark, d):
+    return recall.metrics(_asked(spark, d), X.mem_orders(spark, d))
+
+
 @query
 def validate_status(spark, d):
     return _judged(spark, d, "WARN")

@@ -76,4 +76,4 @@ def test_recalls_touch_and_cycles_change(spark):
     # a memory merged away is not recalled, its count of structural matches is
     questions = spark.createDataFrame([(1, "quem é Rita?", "pt"), (2, "zzz", "pt")], ASKED)
     assert {r["id"] for r in after.recall(questions)[1].filter("query_id = 1").collect()} == {0}
-    assert {r["query_id"]: (r["query_type"], r["structural_match_count"], r["semantic_fallback_count"]) for r in after.metrics(questions).collect()} == {1: ("identity", 2, 0), 2: ("unknown", 0, 0)}
+    assert {r["query_id"]: (r["query_type"], r["structural_match_count"], r["semantic_fallback_count"]) for r in after.metrics(questions).collect()} == {1: ("identity", 2, None), 2: ("unknown", None, 0)}
