@@ -64,7 +64,7 @@ def test_validation_results(spark):
     assert got[2]["timestamp"] == "2024-05-01T10:00:00" and got[2]["suggestions"]
 
 
-VECTORS = {"odeia a loja nova": [-1.0, 0.1], "adora a loja nova": [1.0, 0.1], "visita a loja nova": [0.9, 0.2], "sem a loja nova": None}
+VECTORS = {"esquece a loja nova": [-1.0, 0.1], "adora a loja nova": [1.0, 0.1], "visita a loja nova": [0.9, 0.2], "sem a loja nova": None}
 
 
 def load(fails=False):
@@ -78,7 +78,6 @@ def test_vectors_that_say_the_opposite(spark):
     none = spark.createDataFrame([], "id long, name string")
     # "odeia" and "sem" deny; leave the denial to the vectors
     m = m.withColumn("what", F.when(F.col("id") == 1, "esquece a loja nova").otherwise(F.col("what")))
-    VECTORS["esquece a loja nova"] = [-1.0, 0.1]
     vectors = embedding.encoded(m, "id", "what", load)
     assert {r["id"]: r["vector"] for r in vectors.collect()}[4] is None
     plain = {r["id"]: (r["status"], r["level"]) for r in validate.validate(m, m, none, "BLOCK").collect()}
