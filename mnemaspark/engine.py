@@ -66,19 +66,24 @@ class Engine:
 
     def recall(self, questions: DataFrame, k: int = 5, max_tokens: int = 200) -> tuple[DataFrame, DataFrame]:
         """(query_id, packed, tokens) and the memories recalled. Memories merged away are dropped after the top k."""
-        watched, add = self.counters.watch(questions, "recalls")
+        watched, add = self.counters.watch(self._spaced(questions), "recalls")
         asked = intent.with_intent(watched)
         add()
         found = self._found(asked, k)
         return recall.pack(found, asked, max_tokens), found
 
+    def _spaced(self, questions: DataFrame) -> DataFrame:
+        """Questions see the engine's namespace, where its memories name theirs."""
+        spaced = "namespace" in self.memories.columns and "namespace" not in questions.columns
+        return questions.withColumn("namespace", F.lit(self.namespace)) if spaced else questions
+
     def _found(self, asked: DataFrame, k: int) -> DataFrame:
         live = self.memories.filter("consolidated_into is null").select("id")
         return recall.tiered(asked, self.memories, k).join(live, "id", "left_semi")
 
     def metrics(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """For each question its kind and language, how many memories came by structure, and how many the fallback added."""
-        return recall.metrics(intent.with_intent(questions), self.memories, k)
+        return recall.metrics(intent.with_intent(self._spaced(questions)), self.memories, k)
 
     def touched(self, found: DataFrame, at: str) -> "Engine":
         """The engine after a recall at ``at``: the memories returned count an access for each question."""
@@ -86,7 +91,7 @@ class Engine:
 
     def inspect(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """What ``recall`` finds, with all columns and the match of each memory with the question's text; nothing is counted or touched."""
-        found = self._found(intent.with_intent(questions), k).select("query_id", "rank", "id")
+        found = self._found(intent.with_intent(self._spaced(questions)), k).select("query_id", "rank", "id")
         rows = found.join(self.memories, "id").join(questions.select("query_id", "question"), "query_id")
         return rows.withColumn("match_score", F.bround(S.matches_text(F.col("question")), 3))
 

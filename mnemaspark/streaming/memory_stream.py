@@ -11,11 +11,18 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.text import extract_where, extract_who
 from ..operators import validate
 
+SPAN = 100_000
+
 
 def turn_memories(turns: DataFrame) -> DataFrame:
-    """User turns as memories; works on a stream as on a table. An extracted time is not used."""
+    """User turns as memories, without answers (see ``bridge`` for exchanges); works on a stream as on a table. An extracted time is not used.
+
+    Turns beyond those that a conversation's span of numbers holds are numbered by hash, below zero.
+    """
+    inside = F.col("conv_id").between(0, 1 << 45) & F.col("turn").between(0, SPAN - 1)
+    number = F.when(inside, F.col("conv_id") * SPAN + F.col("turn")).otherwise(F.xxhash64("conv_id", "turn").bitwiseOR(F.lit(-1 << 63)))
     return turns.filter("role = 'user'").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("id"), (F.col("conv_id") * 100000 + F.col("turn")).alias("seq"), extract_who(F.col("text")).alias("who"),
+        number.alias("id"), number.alias("seq"), extract_who(F.col("text")).alias("who"),
         F.col("text").alias("what"), F.lit("").alias("why"), extract_where(F.col("text")).alias("place"), F.lit("").alias("how"), F.lit(0.6).alias("importance"),
         F.lit(None).cast("timestamp_ntz").alias("when_ts"))
 
