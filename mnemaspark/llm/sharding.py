@@ -132,16 +132,19 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, law: str = "bytes") -> None:
     """Write ``docs`` under ``path``, a folder for each shard, rows in slot order inside its files.
 
-    Columns named shard, slot or copy are replaced.
+    All columns of ``docs`` are written, but those named shard or slot are replaced. Null texts
+    stay null; rows without doc_id come first; rows equal in doc_id, size and checksum take the slots
+    of their copies in any order; an empty table writes none.
     """
     stage = Stage(docs.sparkSession, "shards")
     placed = assign(digest(docs), stage, shards, law)
-    own = Window.partitionBy("doc_id", "size", "crc").orderBy(F.lit(0))
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = without(docs, "shard", "slot", "copy", "size", "crc").withColumn("size", F.octet_length(body).cast("long") + 8).withColumn("crc", F.crc32(body.cast("binary")))
+    # the row travels whole, so that none of its names meets those added here
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in without(docs, "shard", "slot").columns]).alias("row"), "doc_id", (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body.cast("binary")).alias("crc"))
+    own = Window.partitionBy("doc_id", "size", "crc").orderBy(F.lit(0))
     keyed = keyed.withColumn("copy", (F.row_number().over(own) - 1).cast("long"))
     joined = keyed.alias("a").join(placed.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.size = b.size and a.crc = b.crc and a.copy = b.copy"))
-    out = joined.select("a.*", "b.shard", "b.slot").drop("size", "crc", "copy")
+    out = joined.select("a.row.*", "b.shard", "b.slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     stage.drop()
 
