@@ -7,6 +7,8 @@ participants meet all of their place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..functions.text import has_negation, stripped, validator_tokens
 from ..sources.shared import ensure_checkpoint_dir
 
 SIMILAR, WHO_OVERLAP, WHAT_OVERLAP = 0.85, 0.5, 0.3
+#: How many contradictions that hang together one task settles.
+TOGETHER = 50_000
 #: Vectors less alike than this say the opposite, where words and participants say the same.
 UNLIKE = 0.4
 PREPARED = ("id", "seq", "who", "what", "why", "place")
@@ -122,29 +126,64 @@ def validator_stats(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "WARN", "BLOCKED")])
 
 
-def accept_in_order(writes: DataFrame, old: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): the smallest id that each node of ``edges`` (a, b) is connected with.
+
+    Each round takes the least root among neighbours, then the root's own, so a chain halves.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    roots = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")).checkpoint()
+    while True:
+        near = both.join(roots.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
+        least = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        jumped = least.join(least.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", "was", F.least("root", "next").alias("root")).checkpoint()
+        roots = jumped.select("id", "root")
+        if jumped.filter("root <> was").isEmpty():
+            return roots
+
+
+def accept_in_order(writes: DataFrame, old: DataFrame | None = None, together: int = TOGETHER) -> DataFrame:
     """BLOCK policy: (id, accepted) where a write is compared only with ``old`` and with accepted writes before it.
 
-    A blank write is refused. Contradictions are the edges of a graph; each round refuses the
-    writes next to one accepted before them and accepts those of which all earlier neighbours
-    are refused, so there are as many rounds as the longest chain of undecided writes, and no
-    place or participant is brought together in one task.
+    A blank write is refused. Contradictions are the edges of a graph. A connected part of up to
+    ``together`` edges is settled by one task, write after write. Larger ones go by rounds: each
+    refuses the writes next to one accepted before them and accepts those of which all earlier
+    neighbours are refused, so no place or participant is brought together in one task.
     """
     ensure_checkpoint_dir(writes.sparkSession)
     fit = writes.filter(stripped(F.col("what")) != "")
     before = fit if old is None else old.select(*PREPARED).unionByName(fit.select(*PREPARED))
-    edges = overlapping(fit, before, named_only=True).filter(_conflict()).select("a", "b").checkpoint()
-    todo = edges.select(F.col("a").alias("id")).distinct()
-    # stored memories and writes without an earlier contradiction
-    state = before.select("id").join(todo, "id", "left_anti").select("id", F.lit(True).alias("accepted")).checkpoint()
-    todo = todo.checkpoint()
+    found = overlapping(fit, before, named_only=True).filter(_conflict()).select("a", "b")
+    edges = found.join(fit.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").checkpoint()
+    of = edges.join(components(edges).withColumnRenamed("id", "a"), "a").checkpoint()
+    large = of.groupBy("root").count().filter(F.col("count") > together).select("root").checkpoint()
+    kind = dict(edges.dtypes)["a"]
+
+    def settle(rows):
+        import pandas as pd
+
+        refused: dict = {}
+        for (_, a), own in rows.sort_values("sa", kind="stable").groupby(["sa", "a"], sort=True):
+            # whatever is no one's later part has been accepted
+            refused[a] = any(not refused.get(b, False) for b in own["b"])
+        return pd.DataFrame({"id": list(refused), "accepted": [not r for r in refused.values()]})
+
+    settled = [of.join(large, "root", "left_anti").groupBy("root").applyInPandas(settle, f"id {kind}, accepted boolean").checkpoint()]
+    todo = of.join(large, "root", "left_semi").select(F.col("a").alias("id")).distinct().checkpoint()
+    wide = of.join(large, "root", "left_semi").select("a", "b").checkpoint()
+    # in large parts: nodes that are no write with an earlier contradiction
+    known = wide.select(F.col("b").alias("id")).distinct().join(todo, "id", "left_anti").select("id", F.lit(True).alias("accepted")).checkpoint()
     while not todo.isEmpty():
-        seen = edges.join(todo.withColumnRenamed("id", "a"), "a").join(state.withColumnRenamed("id", "b"), "b", "left")
+        seen = wide.join(todo.withColumnRenamed("id", "a"), "a").join(known.withColumnRenamed("id", "b"), "b", "left")
         ruled = seen.groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("accepted", F.lit(False))).alias("refused"), F.bool_or(F.col("accepted").isNull()).alias("open"))
-        done = ruled.filter("refused or not open").select("id", (~F.col("refused")).alias("accepted"))
-        state = state.unionByName(done).checkpoint()
-        todo = todo.join(state, "id", "left_anti").checkpoint()
-    return writes.select("id").join(state, "id", "left").select("id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        done = ruled.filter("refused or not open").select("id", (~F.col("refused")).alias("accepted")).checkpoint()
+        settled.append(done)
+        known = known.unionByName(done)
+        todo = todo.join(done, "id", "left_anti").checkpoint()
+    state = reduce(DataFrame.unionByName, settled)
+    blank = stripped(F.col("what")) == ""
+    return writes.select("id", blank.alias("blank")).join(state, "id", "left").select("id", (~F.col("blank") & F.coalesce("accepted", F.lit(True))).alias("accepted"))
 
 
 def validate_in_order(writes: DataFrame, old: DataFrame, entities: DataFrame, policy: str = "WARN") -> tuple[DataFrame, DataFrame]:

@@ -16,24 +16,25 @@ def _packed(rows: DataFrame, key: str, name: str) -> DataFrame:
     return live.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "embedding"))).alias(name)).select(name)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3, own: bool = False) -> DataFrame:
     """(query_id, vec_id, sim, rank): the k most similar rows (vec_id, embedding) of every query (query_id, embedding).
 
     Blocks of queries meet blocks of rows; each meeting keeps its k best of a query, so what
     is ranked is k rows for each query and block. A row is not compared with the query of
-    its own id. Null and zero vectors are similar to none; equal similarities go by vec_id.
+    its own id, unless ``own`` (ids of two tables). Null and zero vectors are similar to none; equal similarities go by vec_id.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for qs, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                q, x = (np.array([r["embedding"] for r in rs], dtype=float) for rs in (qs, own))
-                qid, ids = (np.array([r["id"] for r in rs]) for rs in (qs, own))
+            for qs, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                q, x = (np.array([r["embedding"] for r in rs], dtype=float) for rs in (qs, xs))
+                qid, ids = (np.array([r["id"] for r in rs]) for rs in (qs, xs))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sim = np.nan_to_num((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]))
-                sim[qid[:, None] == ids[None, :]] = -2
+                if not own:
+                    sim[qid[:, None] == ids[None, :]] = -2
                 n = min(k, len(ids))
                 at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
                 s = np.take_along_axis(sim, at, axis=1)

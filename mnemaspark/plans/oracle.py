@@ -254,6 +254,12 @@ def _validate_sql():
     SQL["validate_embedding"] = f"""WITH {OVERLAP}, model AS (SELECT m.id, embedding::DOUBLE[] AS v FROM mem m JOIN embeddings ON vec_id = length(what) * 7),
       firsts AS (SELECT a AS id, arg_min({{'b': b, 'opposed': opposed}}, sb) AS c FROM pairs JOIN model x ON x.id = a JOIN model y ON y.id = b WHERE what_overlap >= 0.3 AND (opposed OR list_cosine_similarity(x.v, y.v) < 0.4) GROUP BY a)
       SELECT id, 'BLOCKED' AS status, c.b AS conflict_id FROM firsts WHERE NOT c.opposed"""
+    against = f"l.neg <> b.neg AND {jaccard('l.toks', 'b.toks')} >= 0.3"
+    SQL["accept_in_order"] = f"""WITH RECURSIVE {MEM}, b AS MATERIALIZED (SELECT id, place, who[1] AS w, {f2('what')} AS toks, ({negated('what')}) OR ({negated('why')}) AS neg, row_number() OVER (PARTITION BY place, who[1] ORDER BY seq) AS i FROM mem),
+      acc(place, w, i, kept, id, accepted) AS (SELECT place, w, i, [{{'toks': toks, 'neg': neg}}], id, true FROM b WHERE i = 1 UNION ALL
+        SELECT place, w, i, CASE WHEN ok THEN list_append(kept, {{'toks': toks, 'neg': neg}}) ELSE kept END, id, ok FROM
+          (SELECT b.*, kept, len(list_filter(kept, lambda l: {against})) = 0 AS ok FROM acc JOIN b ON b.place = acc.place AND b.w = acc.w AND b.i = acc.i + 1))
+      SELECT id, accepted FROM acc"""
 
 
 def exactly(x: str, places: int) -> str:

@@ -149,7 +149,10 @@ def test_acceptance_in_order_matches_one_by_one(spark):
         want[i] = not any(w == who and who and p == place and neg != n and len(toks & t) / len(toks | t) >= 0.3 for w, t, n, p in kept)
         if want[i]:
             kept.append((who, toks, neg, place))
-    assert {r["id"]: r["accepted"] for r in validate.accept_in_order(memories(spark, *rows)).collect()} == want and not all(want.values())
+    m = memories(spark, *rows)
+    # by parts in one task, by rounds, and some of each
+    for together in (validate.TOGETHER, 0, 12):
+        assert {r["id"]: r["accepted"] for r in validate.accept_in_order(m, together=together).collect()} == want and not all(want.values())
 
 
 def test_a_blocked_write_is_not_compared_with(spark):
