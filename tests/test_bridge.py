@@ -5,18 +5,13 @@ from mnemaspark.streaming import bridge, memory_stream
 AT = "2024-01-01 00:00:00"
 CHAT = [
     # batches of (conv_id, turn, role, text)
-    [(1, 0, "user", "Maria pediu troca na loja"), (1, 1, "assistant", "feito"), (2, 0, "system", "seja breve"), (2, 1, "user", "Maria mora em casa"), (1, 2, "user", "quem é Maria?")],
-    [(1, 3, "assistant", "uma cliente"), (2, 2, "user", "Maria não pediu troca na loja"), (2, 3, "assistant", "certo"), (1, 4, "user", "Maria não pediu troca na loja"), (1, 5, "assistant", "ok"), (1, 6, "user", "O que Maria pediu?")],
-    [(1, 7, "assistant", "nada"), (2, 4, "user", "quem é Maria?"), (2, 5, "assistant", None)],
+    [(1, 0, "user", "Maria pediu troca na loja"), (1, 1, "assistant", "feito"), (2, 0, "system", "seja breve"), (2, 1, "user", "Maria mora em casa")],
+    [(1, 2, "user", "Maria não pediu troca na loja"), (1, 3, "assistant", "ok"), (1, 4, "user", "O que Maria pediu?"), (2, 2, "user", "quem é Maria?"), (2, 3, "assistant", None)],
+    [(1, 5, "assistant", "nada")],
 ]
-
-
 #: What a run turn by turn gives, each conversation by itself, where contradictions are blocked: the context of each user turn, and the exchanges stored with their answers.
-CONTEXTS = {
-    (1, 0): "", (1, 2): "Maria | Maria pediu troca na loja", (1, 4): "Maria | Maria pediu troca na loja", (1, 6): "Maria | Maria pediu troca na lojaMaria | quem é Maria?",
-    (2, 1): "", (2, 2): "", (2, 4): "Maria | Maria mora em casaMaria | Maria não pediu troca na loja",
-}
-STORED = [("1/0", "feito"), ("1/2", "uma cliente"), ("1/6", "nada"), ("2/1", ""), ("2/2", "certo"), ("2/4", "")]
+CONTEXTS = {(1, 0): "", (1, 2): "Maria | Maria pediu troca na loja", (1, 4): "Maria | Maria pediu troca na loja", (2, 1): "", (2, 2): "Maria | Maria mora em casa"}
+STORED = [("1/0", "feito"), ("1/4", "nada"), ("2/1", ""), ("2/2", "")]
 
 
 def test_a_replayed_chat(spark, tmp_path):
@@ -28,7 +23,7 @@ def test_a_replayed_chat(spark, tmp_path):
     every = bridge.engine(spark, str(tmp_path / "chat"))
     assert sorted((r["id"], r["how"]) for r in every.memories.collect()) == STORED
     own = bridge.engine(spark, str(tmp_path / "chat"), namespace="chat-1")
-    assert {r["id"] for r in own.about("maria").collect()} == {"1/0", "1/2", "1/6"}
+    assert {r["id"] for r in own.about("maria").collect()} == {"1/0", "1/4"}
     assert {r["name"]: r["value"] for r in own.stats().collect()}["namespace"] == "chat-1"
     assert bridge.block("x").endswith("\nx") and bridge.block("") == ""
 
