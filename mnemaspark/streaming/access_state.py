@@ -1,10 +1,14 @@
 """Accesses as keyed state: each recall moves a memory's counters and the time at which it is forgotten.
 
-The stream holds a value state for each memory and one event-time timer. A write starts it, a touch
-(a recall that returned the memory, or a replay) adds to the count, sets the last access and moves the
-timer to the moment when retrievability falls below the limit. When the watermark passes it, the
-memory is deleted. So after each batch the memories left are those of ``dream.cleanup`` at the
-watermark over all touches so far, without a pass over the table.
+The stream keeps a row of state for each memory, with the moment at which retrievability falls below
+the limit. A write starts it, a touch (a recall that returned the memory, or a replay) adds to the
+count, sets the last access and moves that moment. When the watermark passes it, the memory is
+deleted. So after each batch the memories left are those of ``dream.cleanup`` at the watermark over
+all touches so far, without a pass over the table of memories.
+
+A batch is summed up by id, joined with the state that the batch before it left, and written as the
+next state, all in native columns. The state is read and written whole, so a trigger should
+bring much at once.
 
 Batches and streams share one form of update, (id, kind, at, and for writes what decides how
 long a memory lasts): recalls, replays and writes of a batch job can be appended to the folder that a
@@ -13,21 +17,20 @@ stream reads.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import decay as D
+from ..sources.store import _at
 
 UPDATE = "id long, kind string, at timestamp, importance double, access_count int, last_accessed timestamp, when_ts timestamp, consolidated boolean"
-STATE = "written boolean, access_count long, last long, since long, importance double, consolidated boolean, timer long"
+#: A row without id holds the watermark as ``at``. Rows that are ``gone`` or not ``touched`` by the batch are told apart for the table of changes.
+STATE = "id long, written boolean, access_count long, last timestamp, since timestamp, importance double, consolidated boolean, gone boolean, touched boolean, at timestamp"
 CHANGE = "id long, access_count long, last_accessed timestamp, deleted boolean, at timestamp"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = 86_400_000_000
 
 
@@ -63,102 +66,70 @@ def touched(memories: DataFrame, updates: DataFrame) -> DataFrame:
 # ---- the keyed state ----------------------------------------------------------------------
 
 
-class Accesses(StatefulProcessor):
-    """Counts, last access and forgetting of one memory at a time.
+def advance(state: DataFrame, updates: DataFrame, now: datetime.datetime, least: float = D.FORGOTTEN, config: D.Decay = D.Decay()) -> DataFrame:
+    """The STATE rows that ``updates`` make of ``state``, with what has faded by ``now`` marked as gone.
 
     A touch that comes before its write waits for it, as long as a memory of no importance that
     was touched so often would last; a second write of an id replaces the first. What is deleted
     stays deleted unless it is written again.
     """
-
-    def __init__(self, least: float, config: D.Decay = D.Decay()):
-        self.least, self.config = least, config
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("memory", STATE)
-
-    def _lasts(self, s: dict) -> float:
-        """Microseconds from the last access to the moment at which retrievability falls below the limit."""
-        return D.stability_of(s["access_count"], s["importance"], s["consolidated"], self.config) * math.log(1 / self.least) * DAY
-
-    def _keep(self, s: dict) -> None:
-        from_ = s["since"] if s["last"] is None else s["last"]
-        timer = int((from_ + self._lasts(s)) // 1000) + 1
-        if timer != s["timer"]:
-            if s["timer"] is not None:
-                self.handle.deleteTimer(s["timer"])
-            self.handle.registerTimer(timer)
-        self.state.update(tuple({**s, "timer": timer}.values()))
-
-    def _row(self, key, s: dict, deleted: bool, at: int) -> Iterator:
-        import pandas as pd
-
-        if s["written"]:
-            time = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
-            yield pd.DataFrame({"id": [key[0]], "access_count": [s["access_count"]], "last_accessed": [time(s["last"])], "deleted": [deleted], "at": [time(at)]})
-
-    def _now(self) -> dict:
-        names = [x.split()[0] for x in STATE.split(", ")]
-        if self.state.exists():
-            return dict(zip(names, self.state.get(), strict=True))
-        return dict(zip(names, (False, 0, None, None, 0.0, False, None), strict=True))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        s, seen = self._now(), pd.concat(list(rows))
-        us = lambda t: None if pd.isna(t) else int(pd.Timestamp(t).value // 1000)
-        new = seen[seen["kind"] == "write"].sort_values("at", kind="stable")
-        if len(new):
-            w = new.iloc[-1]
-            # touches that came before their write belong to it; a second write starts anew
-            waiting, last = (0, None) if s["written"] else (s["access_count"], s["last"])
-            lasts = [t for t in (us(w["last_accessed"]), last) if t is not None]
-            s |= {"written": True, "access_count": (0 if pd.isna(w["access_count"]) else int(w["access_count"])) + waiting, "last": max(lasts, default=None),
-                  "since": us(w["when_ts"]) if us(w["when_ts"]) is not None else us(w["at"]), "importance": float(w["importance"]), "consolidated": bool(w["consolidated"])}
-        hits = seen[seen["kind"] == "touch"]
-        if len(hits):
-            s |= {"access_count": s["access_count"] + len(hits), "last": max(x for x in (s["last"], us(hits["at"].max())) if x is not None)}
-        if len(new) or len(hits):
-            self._keep(s)
-            yield from self._row(key, s, False, us(seen["at"].max()))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        s = self._now()
-        self.state.clear()
-        yield from self._row(key, s, True, expiredTimerInfo.getExpiryTimeInMs() * 1000)
-
-    def close(self) -> None:
-        pass
-
-
-def changes(updates: DataFrame, least: float = D.FORGOTTEN, late: str = "0 seconds") -> DataFrame:
-    """A stream of CHANGE rows from a stream of updates; rows with null id are left out."""
-    known = updates.filter("id is not null").withWatermark("at", late)
-    return known.groupBy("id").transformWithStateInPandas(Accesses(least), CHANGE, "update", "eventTime")
+    kind, w = F.col("kind"), F.col("w")
+    seen = updates.groupBy("id").agg(
+        F.max(F.when(kind == "write", F.struct("at", "when_ts", "importance", "access_count", "last_accessed", "consolidated"))).alias("w"),
+        F.count_if(kind == "touch").alias("hits"), F.max(F.when(kind == "touch", F.col("at"))).alias("hit_at"), F.max("at").alias("seen_at"))
+    old = state.filter("id is not null and not gone").drop("gone", "touched", "at")
+    new, known = w.isNotNull(), F.coalesce("written", F.lit(False))
+    either = lambda its, name: F.when(new, its).otherwise(F.col(name))
+    count = F.coalesce("access_count", F.lit(0))
+    # touches that came before their write belong to it; a second write starts anew
+    count = F.when(new, F.coalesce(w["access_count"], F.lit(0)) + F.when(known, 0).otherwise(count)).otherwise(count) + F.coalesce("hits", F.lit(0))
+    last = F.greatest(either(F.greatest(w["last_accessed"], F.when(~known, F.col("last"))), "last"), F.col("hit_at"))
+    rows = old.join(seen, "id", "full_outer").select(
+        "id", (known | new).alias("written"), count.cast("long").alias("access_count"), last.alias("last"), either(F.coalesce(w["when_ts"], w["at"]), "since").alias("since"),
+        F.coalesce(either(w["importance"], "importance"), F.lit(0.0)).alias("importance"), F.coalesce(either(w["consolidated"], "consolidated"), F.lit(False)).alias("consolidated"),
+        (new | (F.coalesce("hits", F.lit(0)) > 0)).alias("touched"), F.col("seen_at").alias("at"))
+    # from the last access to the moment at which retrievability falls below the limit, to the next millisecond
+    lasts = D.stability(config, F.col("consolidated")) * (math.log(1 / least) * DAY)
+    until = F.floor((F.unix_micros(F.coalesce("last", "since")) + lasts) / 1000) + 1
+    gone = until <= F.unix_millis(F.lit(now))
+    return rows.withColumn("gone", gone).withColumn("at", F.when(F.col("gone"), F.timestamp_millis(until)).otherwise(F.col("at"))).select(*[x.split()[0] for x in STATE.split(", ")])
 
 
 def keep_access(updates: DataFrame, table: str, checkpoint: str, least: float = D.FORGOTTEN, late: str = "0 seconds"):
     """A started query that keeps ``table`` up to date with a stream of updates; all that is there is taken in, in batches.
 
-    ``table`` has a part for each batch, replaced if the batch runs again; see ``current``.
+    ``table`` has a part for each batch, replaced if the batch runs again; see ``current``. The
+    state lies beside the checkpoint, as the last two batches left it. The watermark is the latest
+    time seen less ``late``; rows up to that of the batch before and rows with null id are left out.
     """
     spark, name = updates.sparkSession, hashlib.md5(checkpoint.encode()).hexdigest()
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{table}/stream={name}/batch={batch_id}")
-
-        return changes(updates, least, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    folder = lambda batch_id: f"{checkpoint.rstrip('/')}/memories/batch={batch_id}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        fs, before = _at(own, folder(batch_id - 1))
+        state = own.read.schema(STATE).parquet(folder(batch_id - 1)) if fs.exists(before) else own.createDataFrame([], STATE)
+        mark = state.filter("id is null").select("at")
+        was = (mark.first() or [None])[0]
+        known = batch.filter("id is not null" if was is None else F.col("id").isNotNull() & (F.col("at") > F.lit(was)))
+        latest = known.agg(F.timestamp_millis(F.unix_millis(F.max("at")) - F.unix_millis(F.timestamp_millis(F.lit(0)) + F.expr(f"interval {late}"))).alias("at"))
+        now = latest.unionByName(mark).agg(F.max("at")).first()[0]
+        if now is None:
+            return
+        row = own.range(1).select(*[(F.lit(now) if f.name == "at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in state.schema.fields])
+        advance(state, known, now, least).unionByName(row).write.mode("overwrite").parquet(folder(batch_id))
+        after = own.read.schema(STATE).parquet(folder(batch_id)).filter("id is not null and written and (gone or touched)")
+        after.select("id", "access_count", F.col("last").alias("last_accessed"), F.col("gone").alias("deleted"), "at").write.mode("overwrite").parquet(f"{table}/stream={name}/batch={batch_id}")
+        fs, done = _at(own, folder(batch_id - 2))
+        fs.delete(done, True)
+
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
-    """The last change of each memory, from a table that one stream keeps; within a batch a deletion is the last."""
+    """The last change of each memory, from a table that one stream keeps."""
     rows = spark.read.schema(CHANGE + ", stream string, batch long").parquet(table)
-    last = rows.groupBy("id").agg(F.max_by(F.struct("access_count", "last_accessed", "deleted", "at"), F.struct("batch", F.col("deleted"))).alias("r"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("access_count", "last_accessed", "deleted", "at"), "batch").alias("r"))
     return last.select("id", "r.*")
 
 

@@ -69,3 +69,24 @@ def test_stability_of_one_memory_is_that_of_the_column(spark):
     m = spark.createDataFrame([memory(i, START, rng, bool(i % 2)) for i, rng in enumerate((0.1, 0.7, 0.71, 1.0))], MEMORY).withColumn("access_count", F.col("id").cast("int") * 5)
     for r in m.select("access_count", "importance", D.consolidated().alias("c"), D.stability().alias("s")).collect():
         assert abs(D.stability_of(r["access_count"], r["importance"], r["c"]) - r["s"]) < 1e-12
+
+
+def test_advancing_the_state_is_native_and_is_the_fold_of_each_memory(spark):
+    """20,000 memories in two batches: no row of Python, and each memory as its own events leave it."""
+    at = lambda days: f"timestamp '2024-01-01 00:00:00' + make_dt_interval(CAST({days} AS int))"
+    ids = spark.range(20_000)
+    none = "CAST(NULL AS timestamp)"
+    write = ids.filter("id % 4 <> 3").selectExpr("id", "'write' AS kind", f"{at('0')} AS at", "0.5D AS importance", "2 AS access_count", f"{none} AS last_accessed", f"{none} AS when_ts", "id % 2 = 0 AS consolidated")
+    touch = ids.filter("id % 3 = 0").selectExpr("id", "'touch' AS kind", f"{at('30')} AS at", "NULL AS importance", "NULL AS access_count", f"{none} AS last_accessed", f"{none} AS when_ts", "NULL AS consolidated")
+    empty = spark.createDataFrame([], access_state.STATE)
+    # the touches come first and wait for their write, which fades where there were none
+    one = access_state.advance(empty, touch, START + datetime.timedelta(days=30), 0.3)
+    two = access_state.advance(one, write, START + datetime.timedelta(days=31), 0.3)
+    assert "Python" not in two._jdf.queryExecution().toString() and "Pandas" not in two._jdf.queryExecution().toString()
+    got = {r["id"]: r for r in two.collect()}
+    assert len(got) == sum(i % 4 != 3 or i % 3 == 0 for i in range(20_000))
+    for i, r in got.items():
+        n = (2 if i % 4 != 3 else 0) + (i % 3 == 0)
+        idle = 1 if i % 3 == 0 else 31
+        lasts = D.stability_of(n, 0.5 if i % 4 != 3 else 0.0, i % 4 != 3 and i % 2 == 0) * 1.2039728043259361
+        assert (r["written"], r["access_count"], r["gone"]) == (i % 4 != 3, n, idle > lasts), i
