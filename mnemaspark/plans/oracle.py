@@ -7,7 +7,7 @@ from ..functions.decay import FORGOTTEN
 from ..operators.dream import REPLAY
 from ..operators.intent import groups
 from ..sources.fixtures import AS_OF, TEMPLATES
-from .queries import FADED, NATION, NEEDLE, QUESTION
+from .queries import FADED, NATION, NEEDLE, QUESTION, REPLAYED
 
 SQL: dict[str, str] = {}
 
@@ -308,7 +308,7 @@ def _decay_sql():
     SQL["forget_split"] = f"WITH {SIGNAL} SELECT s >= 0.3 AS forget, count(*) AS n FROM signals GROUP BY 1"
     SQL["accelerate_decay"] = f"WITH {MEM} SELECT id, importance * 0.5::DOUBLE AS importance FROM mem"
     SQL["dream_cleanup"] = f"WITH {MEM} SELECT id FROM mem WHERE {RETRIEVED} >= {FORGOTTEN}"
-    SQL["dream_replay"] = f"WITH {MEM} SELECT id, importance FROM mem ORDER BY importance DESC, seq LIMIT {REPLAY}"
+    SQL["dream_replay"] = f"WITH {MEM} SELECT id, importance FROM mem ORDER BY importance DESC, seq LIMIT {REPLAYED}"
 
 
 def merging(rows: str) -> str:

@@ -200,3 +200,10 @@ def test_turns_are_stored_in_order_of_arrival(spark, tmp_path):
         memory_stream.store_turns(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"), "BLOCK").awaitTermination()
         seen.append([r["id"] // 100000 for r in spark.read.parquet(str(tmp_path / "table")).orderBy("seq").collect()])
     assert seen == [[9], [9], [9, 1]]
+
+
+def test_replay_lists_ten_memories(spark):
+    from mnemaspark.plans.oracle import SQL
+    from mnemaspark.plans.queries import QUERIES
+
+    assert QUERIES["dream_replay"](spark, "/root/testdata/sf0.001").count() == 10 and SQL["dream_replay"].endswith("LIMIT 10")
