@@ -202,6 +202,16 @@ def test_turns_are_stored_in_order_of_arrival(spark, tmp_path):
     assert seen == [[9], [9], [9, 1]]
 
 
+def test_six_places_at_ties_are_those_of_the_scaled_value(spark):
+    """Of 0.5223085 the scaled value lies under a half, though the decimal doesn't."""
+    from mnemaspark.plans.queries import six
+
+    rows = [(x,) for x in (0.26115425 + 0.26115425, 0.4531855 + 0.05, 0.4723085 + 0.05, 0.1234565, 1.0, 0.0)]
+    for r in spark.createDataFrame(rows, "x double").select("x", six(F.col("x")).alias("got")).collect():
+        scaled = r["x"] * 1e6
+        assert r["got"] == (int(scaled) + (scaled - int(scaled) >= 0.5)) / 1e6
+
+
 def test_replay_lists_ten_memories(spark):
     from mnemaspark.plans.oracle import SQL
     from mnemaspark.plans.queries import QUERIES
