@@ -36,3 +36,23 @@ def test_equal_questions_meet_contents_once(spark):
     assert len(got) == 3000 and sorted(got[0]) == sorted(got[2999]) == [(i + 1, i) for i in range(5)]
     assert sorted(got[3]) == [(1, 7), (2, 0), (3, 1), (4, 2), (5, 3)]
     assert n < 120_000  # each question with each content would be 900,000
+
+
+def test_pairs_of_writes_stay_in_their_task(spark):
+    says = ["order still open", "order not open still", "order still open now"]
+    writes = spark.createDataFrame([memory(i, ["ann", "bob"] if i % 2 else ["bob", "cy", "ann"], says[i % 3]) for i in range(240)], MEMORY)
+    n, rows = shuffled(spark, lambda: validate.judged(validate.overlapping(writes, writes)))
+    # denials stand at 1, 4, 7, ...: the first write of the other kind contradicts; what is alike comes before that
+    got = {r["id"]: (r["similar_id"], r["conflict_id"]) for r in rows}
+    assert got == {i: (None if i == 2 else 0 if i % 3 == 0 else None, 0 if i % 3 == 1 else 1 if i > 1 else None) for i in got} and len(got) == 239
+    assert n < 8_000  # 28,680 pairs
+
+
+def test_equal_vectors_are_compared_once(spark):
+    writes = spark.createDataFrame([memory(i, ["ann"], "order still open") for i in range(60)], MEMORY)
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i < 40 else [0.0, 1.0]) for i in range(60)], "id long, vector array<double>")
+    none = spark.createDataFrame([], "id long, name string")
+    rows = validate.validate(writes, writes, none, "BLOCK", vectors).collect()
+    assert {r["id"]: (r["level"], r["conflict_id"]) for r in rows} == {i: ("embedding", 0) if i >= 40 else ("redundancy", None) if i else ("none", None) for i in range(60)}
+    pairs = validate.overlapping(*[writes.join(vectors.select("id", validate.digest().alias("vid")), "id")] * 2)
+    assert pairs.select("va", "vb").distinct().count() == 3
