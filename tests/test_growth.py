@@ -56,3 +56,36 @@ def test_equal_vectors_are_compared_once(spark):
     assert {r["id"]: (r["level"], r["conflict_id"]) for r in rows} == {i: ("embedding", 0) if i >= 40 else ("redundancy", None) if i else ("none", None) for i in range(60)}
     pairs = validate.overlapping(*[writes.join(vectors.select("id", validate.digest().alias("vid")), "id")] * 2)
     assert pairs.select("va", "vb").distinct().count() == 3
+
+
+def test_sets_that_share_rare_words_only_never_meet_whole(spark):
+    """Sets of 400 words of which 40, the rarest, are shared by all: a candidate by its prefix, far from similar."""
+    import random
+
+    rng = random.Random(3)
+    common = [f"c{i:03d}" for i in range(400)]
+    sets = [(i, [f"rare{j}" for j in range(40)] + [f"own{i}-{j}" for j in range(i % 3)] + rng.sample(common, 360 - i % 3)) for i in range(60)]
+    sets += [(100 + i, sets[i][1][:-20] + [f"new{i}-{j}" for j in range(20)]) for i in range(5)]
+    rows = spark.createDataFrame(sets, "id long, toks array<string>")
+    own = {i: set(t) for i, t in sets}
+    wanted = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    for threshold, strict in ((0.7, True), (0.9, False)):
+        want = {p: s for p, s in wanted.items() if (s > threshold if strict else s >= threshold)}
+        got = {(r["a"], r["b"]): r["sim"] for r in S.similar_pairs(rows, [], "toks", threshold, strict, large=True).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_tokens(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {i: set(rng.sample(range(3000), rng.choice([1, 30, 900, 2500]))) for i in range(24)}
+    single = spark.createDataFrame([(i, f"t{t}") for i, ts in sets.items() for t in ts], "id long, tok string")
+    got = {r["id"]: r["sketch"] for r in S.sketches(single).collect()}
+    differ = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(got[a], got[b], strict=True))
+    for a in sets:
+        for b in sets:
+            far = len(sets[a] ^ sets[b])
+            assert differ(a, b) <= far and (far - differ(a, b)) % 2 == 0
+    few = [(a, b) for a in sets for b in sets if a < b and len(sets[a]) == len(sets[b]) == 900]
+    assert all(differ(a, b) > 2 * 900 * 0.3 / 1.7 for a, b in few)  # told apart at 0.7
