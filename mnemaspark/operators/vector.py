@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _packed(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows in arrays of about ``BLOCK``."""
+def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Rows (id, embedding, block) in blocks of about ``BLOCK``, and how many blocks."""
     live = rows.filter("embedding is not null")
     blocks = max(1, -(-live.count() // BLOCK))
-    return live.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "embedding"))).alias(name)).select(name)
+    return live.select(F.col(key).alias("id"), "embedding", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")), blocks
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3, own: bool = False) -> DataFrame:
@@ -24,26 +24,35 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.3, o
     its own id, unless ``own`` (ids of two tables). Null and zero vectors are similar to none; equal similarities go by vec_id.
     """
 
-    def run(batches):
+    def run(t):
         import pyarrow as pa
 
-        for b in batches:
-            for qs, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                q, x = (np.array([r["embedding"] for r in rs], dtype=float) for rs in (qs, xs))
-                qid, ids = (np.array([r["id"] for r in rs]) for rs in (qs, xs))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = np.nan_to_num((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]))
-                if not own:
-                    sim[qid[:, None] == ids[None, :]] = -2
-                n = min(k, len(ids))
-                at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
-                s = np.take_along_axis(sim, at, axis=1)
-                keep = s >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n).reshape(-1, n)[keep]), pa.array(ids[at][keep]), pa.array(s[keep])], names=["query_id", "vec_id", "sim"])
-
-    met = _packed(queries, "query_id", "q").crossJoin(_packed(rows, "vec_id", "x"))
+        t = t.combine_chunks()
+        asks, ids, lists = (t.column(n).to_numpy() for n in ("asks", "id", "embedding"))
+        if len({len(v) for v in lists}) > 1:
+            raise ValueError("vectors differ in length")
+        vectors = np.array([np.asarray(v, dtype=float) for v in lists])
+        order = np.argsort(ids, kind="stable")
+        asks, ids, vectors = asks[order], ids[order], vectors[order]
+        q, x, qid, ids = vectors[asks], vectors[~asks], ids[asks], ids[~asks]
+        if not len(qid) or not len(ids):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.nan_to_num((q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]))
+        if not own:
+            sim[qid[:, None] == ids[None, :]] = -2
+        n = min(k, len(ids))
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
+        s = np.take_along_axis(sim, at, axis=1)
+        keep = s >= least
+        return pa.table({"query_id": np.repeat(qid, n).reshape(-1, n)[keep], "vec_id": ids[at][keep], "sim": s[keep]})
+
+    (asked, many), (all_, blocks) = _dealt(queries, "query_id"), _dealt(rows, "vec_id")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    # a group is one block of queries and one of rows, so a worker holds about 2 * BLOCK vectors, however many groups a task has
+    met = asked.select(F.lit(True).alias("asks"), "id", "embedding", F.col("block").alias("q"), each(blocks, "x")).unionByName(all_.select(F.lit(False).alias("asks"), "id", "embedding", F.col("block").alias("x"), each(many, "q")))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    found = met.mapInArrow(run, "query_id long, vec_id long, sim double")
+    found = met.groupBy("q", "x").applyInArrow(run, "query_id long, vec_id long, sim double")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

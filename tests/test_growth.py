@@ -89,3 +89,15 @@ def test_sketches_never_differ_in_more_bits_than_sets_in_tokens(spark):
             assert differ(a, b) <= far and (far - differ(a, b)) % 2 == 0
     few = [(a, b) for a in sets for b in sets if a < b and len(sets[a]) == len(sets[b]) == 900]
     assert all(differ(a, b) > 2 * 900 * 0.3 / 1.7 for a, b in few)  # told apart at 0.7
+
+
+def test_a_group_of_vectors_is_two_blocks(spark, monkeypatch):
+    from mnemaspark.operators import vector
+
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    found = vector.top_k(vectors, vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 2)
+    # no row of the plan holds a block: a worker is given rows, a group at a time
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+    assert got[0, 1] == 1 and got[50, 1] == 51 and got[350, 1] == 351 and len(got) == 16
