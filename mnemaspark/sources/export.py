@@ -42,6 +42,11 @@ def _empty_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+def _parsed(schema: str) -> Column:
+    """A document's fields. With an option given Spark doesn't cut the schema for each field that is used, so a document is parsed once, not once a field."""
+    return F.from_json("document", schema, {"mode": "PERMISSIVE"})
+
+
 def memory_documents(memories: DataFrame) -> DataFrame:
     """(id, document) of each memory."""
     blank = F.lit("")
@@ -55,7 +60,7 @@ def memories_read(documents: DataFrame, now: str) -> DataFrame:
 
     Text that isn't a document of a memory gives a row whose ``what`` is null.
     """
-    d = F.from_json("document", MEMORY)
+    d = _parsed(MEMORY)
     at = lambda name: F.coalesce(F.try_to_timestamp(d[name]).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
     text = lambda name, default="": F.coalesce(d[name], F.lit(default))
     return documents.select(
@@ -71,7 +76,7 @@ def entity_documents(entities: DataFrame) -> DataFrame:
 
 
 def entities_read(documents: DataFrame) -> DataFrame:
-    d = F.from_json("document", ENTITY)
+    d = _parsed(ENTITY)
     return documents.select(F.coalesce(d["id"], F.uuid()).alias("id"), *[F.coalesce(d[n], F.lit("")).alias(n) for n in ("type", "name")], F.coalesce(d["identifiers"], F.array().cast("array<string>")).alias("identifiers"), F.coalesce(d["attributes"], _empty_map()).alias("attributes"))
 
 
@@ -83,7 +88,7 @@ def relation_documents(relations: DataFrame) -> DataFrame:
 
 
 def relations_read(documents: DataFrame) -> DataFrame:
-    d = F.from_json("document", RELATION)
+    d = _parsed(RELATION)
     return documents.select(
         F.coalesce(d["id"], F.uuid()).alias("id"), *[F.coalesce(d[n], F.lit("")).alias(n) for n in ("from_id", "relation_type", "to_id")],
         *[F.coalesce(d[n], F.lit(x)).alias(n) for n, x in (("strength", 0.5), ("polarity", 1.0))], F.coalesce(d["attributes"], _empty_map()).alias("attributes"))
@@ -100,7 +105,7 @@ def intent_documents(asked: DataFrame) -> DataFrame:
 
 
 def intents_read(documents: DataFrame) -> DataFrame:
-    return documents.select("query_id", F.from_json("document", INTENT).alias("intent")).select("query_id", "intent.*")
+    return documents.select("query_id", _parsed(INTENT).alias("intent")).select("query_id", "intent.*")
 
 
 def result_documents(asked: DataFrame, found: DataFrame, memories: DataFrame, metrics: DataFrame) -> DataFrame:

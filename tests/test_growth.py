@@ -101,3 +101,15 @@ def test_a_group_of_vectors_is_two_blocks(spark, monkeypatch):
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
     assert got[0, 1] == 1 and got[50, 1] == 51 and got[350, 1] == 351 and len(got) == 16
+
+
+def test_a_document_is_parsed_once(spark):
+    import re
+
+    from mnemaspark.sources import export
+
+    read = export.relations_read(spark.createDataFrame([('{"id": "1", "from_id": "a", "polarity": -1}',)], "document string"))
+    heads = set(re.findall(r"from_json\(StructField\((\w+)", read._jdf.queryExecution().optimizedPlan().toString()))
+    assert heads == {"id"}  # a schema cut for each field begins with that field
+    r = read.first()
+    assert (r["id"], r["from_id"], r["relation_type"], r["strength"], r["polarity"]) == ("1", "a", "", 0.5, -1.0)
