@@ -89,9 +89,6 @@ class Ranges:
         return (self.sums[size:] - self.sums[:n]) * Ranges.down[:n]
 
 
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
-
-
 def sample(data: np.ndarray, ends: np.ndarray, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, ...]:
     """(document, place in it, hash of its gram, hash of its context) of the sampled places of a block.
 
@@ -99,10 +96,13 @@ def sample(data: np.ndarray, ends: np.ndarray, block: int = 0, blocks: int = 1)
     """
     starts = np.concatenate([[0], ends[:-1]])
     size = ends - starts
-    doc = np.repeat(np.arange(len(ends)), np.where(size >= LENGTH, size - GRAM + 1, 0))
-    first = np.flatnonzero(np.diff(doc, prepend=-1))
-    pos = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-    held = _IN_COVER[pos % PERIOD]
+    # made period by period, so that nothing but the hashes is as long as the texts
+    periods = np.where(size >= LENGTH, (size - GRAM) // PERIOD + 1, 0)
+    doc = np.repeat(np.arange(len(ends)), periods)
+    period = np.arange(len(doc)) - np.repeat(np.cumsum(periods) - periods, periods)
+    pos = (period[:, None] * PERIOD + np.array(COVER)).ravel()
+    doc = np.repeat(doc, len(COVER))
+    held = pos <= size[doc] - GRAM
     doc, pos = doc[held], pos[held]
     ranges = Ranges(data)
     at = starts[doc] + pos
@@ -338,9 +338,11 @@ def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-def _strings(before: np.ndarray, data: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each distance from the place: (distance, which contexts reach it, where its 50 bytes start, their hashes)."""
-    first = np.cumsum(size) - size
+def _strings(before: np.ndarray, data: np.ndarray, size: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each distance from the place: (distance, which contexts reach it, where its 50 bytes start, their hashes).
+
+    A context is the ``size`` bytes of ``data`` from ``first``.
+    """
     ranges = Ranges(data)
     for back in range(SPREAD + 1):
         has = np.flatnonzero((before >= back) & (before - back + LENGTH <= size))
@@ -357,9 +359,9 @@ def _in_order(data: np.ndarray, at: np.ndarray, name: np.ndarray) -> tuple[np.nd
     order = np.argsort(name, kind="stable")
     new = np.append(True, name[order][1:] != name[order][:-1])
     same = np.flatnonzero(~new)
-    around = np.arange(LENGTH)
-    if len(same) and (data[at[order[same]][:, None] + around] != data[at[order[same - 1]][:, None] + around]).any():
-        whole = np.ascontiguousarray(data[at[:, None] + around]).view(f"V{LENGTH}").ravel()
+    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    if len(same) and (strings[at[order[same]]] != strings[at[order[same - 1]]]).any():
+        whole = np.ascontiguousarray(strings[at]).view(f"V{LENGTH}").ravel()
         _, number = np.unique(whole, return_inverse=True)
         order = np.argsort(number, kind="stable")
         new = np.append(True, np.diff(number[order]) != 0)
@@ -371,12 +373,13 @@ def _compared(contexts: DataFrame, parts: int, slots: int) -> DataFrame:
 
     def run(batches):
         def block(held):
-            gram, rid, doc, pos, before = (np.concatenate([h[i] for h in held]) for i in range(5))
+            rid, doc, pos, before = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
             data, size = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
-            mask = np.zeros(len(gram), dtype=np.int64)
-            for back, has, at, name in _strings(before, data, size):
-                by_doc = np.argsort(doc[has], kind="stable")
-                has, at, name = has[by_doc], at[by_doc], name[by_doc]
+            mask, first = np.zeros(len(rid), dtype=np.int64), np.cumsum(size) - size
+            # once by document, so that equal strings of all distances are
+            by_doc = np.argsort(doc, kind="stable")
+            rid, doc, pos, before, size, first = (c[by_doc] for c in (rid, doc, pos, before, size, first))
+            for back, has, at, name in _strings(before, data, size, first):
                 order, new = _in_order(data, at, name)
                 own = doc[has[order]]
                 mask[has[order[own > own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]]]] |= np.int64(1) << np.int64(back)
@@ -415,7 +418,7 @@ def _compared_hot(contexts: DataFrame, slots: int) -> DataFrame:
                 continue
             rid, doc, pos, before = (b.column(i).to_numpy() for i in range(1, 5))
             data, size = _bytes_of(b.column(5))
-            for back, has, at, _ in _strings(before, data, size):
+            for back, has, at, _ in _strings(before, data, size, np.cumsum(size) - size):
                 whole = data[at[:, None] + np.arange(LENGTH)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), back, np.int32)), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array(doc[has]), pa.array(rid[has]), pa.array(pos[has])], names=["back", "string", "doc_id", "rid", "pos"])
 
@@ -436,18 +439,18 @@ def _removed(n: int, copies: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> n
 
     All strings around ``copies`` go; of those around ``pos``, the ones that ``mask`` has a bit for.
     """
-    if not len(copies) and not len(pos):
+    if not len(copies) and not mask.any():
         return np.array([], dtype=np.int64)
-    change = np.zeros(n + 1, dtype=np.int32)
     copies = copies.astype(np.int64)
-    np.add.at(change, np.maximum(copies - SPREAD, 0), 1)
-    np.add.at(change, np.minimum(copies, n - LENGTH) + LENGTH, -1)
-    for back in range(SPREAD + 1) if len(pos) else ():
-        start = pos[(mask >> back) & 1 == 1].astype(np.int64) - back
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
-    gone = np.cumsum(change) > 0
-    return np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    which, back = np.nonzero((mask[:, None] >> np.arange(SPREAD + 1)) & 1)
+    start = pos[which].astype(np.int64) - back
+    starts = np.concatenate([np.maximum(copies - SPREAD, 0), start])
+    ends = np.concatenate([np.minimum(copies, n - LENGTH), start]) + LENGTH
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    # a run begins beyond all that begins before it; runs that touch are one
+    first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
+    return np.stack([starts[first], np.append(reach[first[1:] - 1], reach[-1])], axis=1).ravel()
 
 
 def mark(docs: DataFrame, stage: Stage) -> DataFrame:

@@ -180,6 +180,38 @@ def test_equal_strings_hold_a_sampled_place_together():
             assert sorted(np.concatenate([x[3] for x in blocks])) == sorted(substrings.sample(np.concatenate(docs), np.cumsum([len(d) for d in docs]))[3])
 
 
+def test_sampling_holds_little_beside_the_hashes():
+    import tracemalloc
+
+    data = np.random.default_rng(4).integers(0, 256, 1 << 20, dtype=np.uint8)
+    substrings.sample(data, np.array([len(data)]))  # powers are kept
+    tracemalloc.start()
+    try:
+        doc, pos, *_ = substrings.sample(data, np.array([1000, len(data)]), 1, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set((pos % substrings.PERIOD).tolist()) == set(substrings.COVER) and pos[doc == 0].max() <= 1000 - substrings.GRAM
+    assert peak < 22 * len(data)  # places made for every byte: 25
+
+
+def test_removed_runs_are_those_of_the_bytes_covered():
+    rng, last = np.random.default_rng(6), substrings.LENGTH - substrings.GRAM
+    for _ in range(300):
+        n = int(rng.integers(substrings.LENGTH, 600))
+        copies, pos = (np.sort(rng.integers(0, n - substrings.GRAM + 1, rng.integers(0, 9))).astype(np.int32) for _ in range(2))
+        gone, mask = np.zeros(n, dtype=bool), np.zeros(len(pos), dtype=np.int64)
+        for p in copies.tolist():
+            gone[max(p - substrings.SPREAD, 0) : min(p, n - substrings.LENGTH) + substrings.LENGTH] = True
+        for i, p in enumerate(pos.tolist()):
+            for back in range(last + 1):
+                if 0 <= p - back <= n - substrings.LENGTH and rng.random() < 0.2:
+                    mask[i] |= 1 << back
+                    gone[p - back : p - back + substrings.LENGTH] = True
+        want = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+        assert substrings._removed(n, copies, pos, mask).tolist() == want.tolist()
+
+
 def test_strings_are_compared_by_their_bytes():
     rng = np.random.default_rng(2)
     data = np.concatenate([x := rng.integers(0, 9, 50).astype(np.uint8), rng.integers(0, 9, 50).astype(np.uint8), x])
