@@ -48,6 +48,30 @@ def test_pairs_of_writes_stay_in_their_task(spark):
     assert n < 8_000  # 28,680 pairs
 
 
+def test_words_in_common_are_counted_once_a_pair(spark):
+    says = ["order still open", "order not open still", "", "order still open now"]
+    writes = spark.createDataFrame([memory(i, [["ann"], ["bob", "ann"], []][i % 3], says[i % 4]) for i in range(24)], MEMORY)
+    found = validate.judged(validate.overlapping(writes, writes))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # not in the join, where each test of a pair would count them again
+    assert not [line for line in plan.splitlines() if "Join" in line and "array_intersect(ta" in line]
+    own = {r["id"]: (set(r["who"]), set(r["what"].split())) for r in writes.collect()}
+    share = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    want = {}
+    for a in own:
+        similar = conflict = None
+        for b in range(a):
+            if own[a][0] & own[b][0] or not own[a][0] or not own[b][0]:
+                who, what, opposed = share(own[a][0], own[b][0]), share(own[a][1], own[b][1]), ("not" in own[a][1]) != ("not" in own[b][1])
+                if conflict is None and what >= 0.85 and (similar is None or what > similar[1]):
+                    similar = (b, what)
+                if conflict is None and who >= 0.5 and what >= 0.3 and opposed:
+                    conflict = b
+        if similar or conflict is not None:
+            want[a] = (similar and similar[0], conflict)
+    assert {r["id"]: (r["similar_id"], r["conflict_id"]) for r in found.collect()} == want
+
+
 def test_equal_vectors_are_compared_once(spark):
     writes = spark.createDataFrame([memory(i, ["ann"], "order still open") for i in range(60)], MEMORY)
     vectors = spark.createDataFrame([(i, [1.0, 0.0] if i < 40 else [0.0, 1.0]) for i in range(60)], "id long, vector array<double>")
