@@ -38,6 +38,38 @@ def test_equal_questions_meet_contents_once(spark):
     assert n < 120_000  # each question with each content would be 900,000
 
 
+def test_first_rows_are_found_without_sorting_all(spark):
+    def peak(n):
+        """Bytes of memory that the stages of n memories take, of the one that takes most, and what is found."""
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        rows = spark.range(n).selectExpr("'s' AS namespace", "id", "id AS seq", "array(concat('name', id)) AS who", "concat('what', id % 3) AS what", "repeat('y', 40) AS why", "'p' AS place", "0.5D AS importance")
+        stages = lambda: {s.stageId(): s.peakExecutionMemory() for s in iterate(store.stageList(None, False, False, none, None))}
+        before = stages()
+        got = sorted((r["what"], r["seq"]) for r in recall.profiles(rows, 5).collect())
+        return max(m for k, m in stages().items() if k not in before), got
+
+    def iterate(found):
+        it = found.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    (few, a), (many, b) = peak(4_000), peak(2_000_000)
+    assert a == b == sorted((f"what{i % 3}", i) for i in range(15))
+    assert many < 1.5 * few
+
+
+def test_first_rows_with_ties_gaps_and_missing_values(spark):
+    rows = [(i, None if i % 50 == 49 else (i * 37) % 400 // 2, "xyz"[i % 3] if i % 7 else None) for i in range(400)] + [(900, 5, "alone"), (901, None, "none")]
+    table = spark.createDataFrame(rows, "id long, seq long, what string")
+    for k in (1, 3, 80, 500):
+        got, want = {}, {}
+        for r in recall.earliest(table, ["what"], k).collect():
+            got.setdefault(r["what"], []).append(-1 if r["seq"] is None else r["seq"])
+        for _, seq, what in rows:
+            want.setdefault(what, []).append(-1 if seq is None else seq)
+        assert {w: sorted(v) for w, v in got.items()} == {w: sorted(v)[:k] for w, v in want.items()}
+
+
 def test_pairs_of_writes_stay_in_their_task(spark):
     says = ["order still open", "order not open still", "order still open now"]
     writes = spark.createDataFrame([memory(i, ["ann", "bob"] if i % 2 else ["bob", "cy", "ann"], says[i % 3]) for i in range(240)], MEMORY)
