@@ -70,6 +70,17 @@ def test_first_rows_with_ties_gaps_and_missing_values(spark):
         assert {w: sorted(v) for w, v in got.items()} == {w: sorted(v)[:k] for w, v in want.items()}
 
 
+def test_texts_are_not_sorted_with_scores(spark):
+    memories = spark.createDataFrame([memory(i, ["ann" if i % 9 == 7 else "bob"], f"order open number{i}", f"town{i % 5}") for i in range(40)], MEMORY)
+    asked = intent.with_intent(spark.createDataFrame([(1, "what is ann", "en"), (2, "when was order open", "en")], "query_id long, question string, lang string"))
+    for tier in (recall.structural, recall.semantic):
+        found = tier(asked, memories)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Aggregate [query_id" in line and ("first(m#" in line or "first(what#" in line)]
+        assert [(r["query_id"], r["rank"], r["id"], r["who"]) for r in found.collect() if r["query_id"] == 1 and r["rank"] < 3] == [(1, 1, 7, ["ann"]), (1, 2, 16, ["ann"])]
+        assert sorted(r["id"] for r in found.collect() if r["query_id"] == 2) == [0, 1, 2, 3, 4]
+
+
 def test_pairs_of_writes_stay_in_their_task(spark):
     says = ["order still open", "order not open still", "order still open now"]
     writes = spark.createDataFrame([memory(i, ["ann", "bob"] if i % 2 else ["bob", "cy", "ann"], says[i % 3]) for i in range(240)], MEMORY)
