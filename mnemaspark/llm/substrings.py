@@ -20,8 +20,8 @@ sampled suffixes that begin with the same ``GRAM`` bytes.
    document instead.
 4. Decided places go back to the texts, where they become removed bytes.
 
-Places travel packed, by ``slot`` (a hash of the row they are in), and meet the texts slot by
-slot. Copies inside a batch are settled before anything is shuffled, so a passage that a
+Places travel packed, by ``slot`` (the name of the row they are in, modulo a prime), and meet the
+texts slot by slot. Copies inside a batch are settled before anything is shuffled, so a passage that a
 third of all documents share sends one place for each batch.
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -150,15 +151,19 @@ COPIES, MASKS, ASKED, TEXT = range(4)
 
 
 def _zip(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+    """Columns as differences, byte by byte: what is sorted, or repeats another column, takes little."""
+    planes = [np.diff(c, prepend=c.dtype.type(0)).view(np.uint8).reshape(len(c), c.itemsize).T for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in planes))
 
 
 def _unzip(raw: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(raw)
     n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
     for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        size = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.cumsum(np.ascontiguousarray(planes.T).view(k).ravel(), dtype=k))
+        at += n * size
     return out
 
 
@@ -181,11 +186,12 @@ def _sampled(rows: DataFrame, parts: int, block: int) -> DataFrame:
                 out.append((-1 - int(gram[0] % _U(parts)), b"", _zip(rid[copy], pos[copy])))
             left = np.flatnonzero(~copy)
             part = ((gram[left] >> _U(20)) % _U(parts)).astype(np.int32)
+            short = (gram >> _U(32)).astype(np.uint32)  # of one part, this tells buckets apart; where two meet, contexts still differ
             by = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
                 own = left[by[a:b]]
-                out.append((int(part[by[a]]), gram[own].tobytes() + ctx[own].tobytes(), _zip(doc[own], rid[own], pos[own])))
+                out.append((int(part[by[a]]), short[own].tobytes() + ctx[own].tobytes(), _zip(doc[own], rid[own], pos[own])))
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "hashes", "places"])
 
         held, size = [], 0
@@ -232,13 +238,15 @@ def _ranked(packed: DataFrame, parts: int, slots: int) -> DataFrame:
                 known = [_unzip(r[2], "i8", "i4") for r in own]
                 yield _slot_batch(list(_by_slot(slots, COPIES, *map(np.concatenate, zip(*known, strict=True)))))
                 continue
-            hashes, places = [], []
+            gram, ctx, places = [], [], []
             for r in own:
-                hashes.append(np.frombuffer(r[1], _U).reshape(2, -1))
+                n = len(r[1]) // 12
+                gram.append(np.frombuffer(r[1], np.uint32, n))
+                ctx.append(np.frombuffer(r[1], _U, n, 4 * n))
                 places.append(_unzip(r[2], "i8", "i8", "i4"))
-            gram, ctx = np.concatenate(hashes, axis=1)
+            gram, ctx = np.concatenate(gram), np.concatenate(ctx)
             doc, rid, pos = map(np.concatenate, zip(*places, strict=True))
-            del hashes, places
+            del places
             some = _several(gram)
             if not len(some):
                 continue
@@ -254,7 +262,7 @@ def _ranked(packed: DataFrame, parts: int, slots: int) -> DataFrame:
             ask = ~copy & (ranks > 1) & (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first))[bucket]
             out = list(_by_slot(slots, COPIES, rid[order[copy]], pos[order[copy]])) if copy.any() else []
             if ask.any():
-                out += _by_slot(slots, ASKED, rid[order[ask]], pos[order[ask]], g[ask])
+                out += _by_slot(slots, ASKED, rid[order[ask]], pos[order[ask]], g[ask].astype(np.int64) | part << 32)
             if out:
                 yield _slot_batch(out)
 
@@ -307,7 +315,7 @@ def _with_places(batches) -> Iterator[tuple]:
             yield b.slice(a, z - a), places
 
 
-def _contexts(rows: DataFrame, found: DataFrame, parts: int, slots: int) -> DataFrame:
+def _contexts(rows: DataFrame, asked: DataFrame, parts: int, slots: int) -> DataFrame:
     """(gram, rid, doc_id, pos, before, context) of the places asked about."""
 
     def run(batches):
@@ -328,7 +336,7 @@ def _contexts(rows: DataFrame, found: DataFrame, parts: int, slots: int) -> Data
             if out[5]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:5]), pa.array(out[5], pa.binary())], names=["gram", "rid", "doc_id", "pos", "before", "context"])
 
-    both = _beside(rows, found.filter(f"kind = {ASKED}"), parts, slots)
+    both = _beside(rows, asked, parts, slots)
     return both.mapInArrow(run, "gram long, rid long, doc_id long, pos int, before int, context binary")
 
 
@@ -453,6 +461,26 @@ def _removed(n: int, copies: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> n
     return np.stack([starts[first], np.append(reach[first[1:] - 1], reach[-1])], axis=1).ravel()
 
 
+def _named(docs: DataFrame, stage: Stage) -> DataFrame:
+    """``docs`` with op7_rid, the name of a row: its doc_id, or a hash of doc_id and text where several rows have that, or none.
+
+    Places travel with the name, so it costs little only where it follows the order of the rows.
+    """
+    hashed, plain = F.xxhash64("doc_id", "text"), F.col("doc_id").cast("long")
+    again = stage.write(docs.groupBy("doc_id").agg(F.count("*").alias("op7_n")).filter("op7_n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("op7_again")), "again")
+    if again.isEmpty():
+        return docs.withColumn("op7_rid", F.coalesce(plain, hashed))
+    return docs.join(again, "doc_id", "left").withColumn("op7_rid", F.when(F.col("op7_again") | F.col("doc_id").isNull(), hashed).otherwise(plain)).drop("op7_again")
+
+
+def _slots(total: int) -> int:
+    """How many slots for ``total`` bytes of texts: a prime number, so that doc_ids in even steps are dealt evenly."""
+    n = max(MIN_SLOTS, 2 * (1 + total // PART_BYTES))
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def mark(docs: DataFrame, stage: Stage) -> DataFrame:
     """Every row of ``docs`` beside what is to be removed from it; ``removals`` reads the batches.
 
@@ -460,20 +488,22 @@ def mark(docs: DataFrame, stage: Stage) -> DataFrame:
     nor take anything; texts under 50 bytes, empty and null ones lose nothing. Columns that
     begin with op7_ are not kept.
     """
-    rid = F.xxhash64("doc_id", "text").alias("op7_rid")
-    rows = docs.select("doc_id", rid, "text")
+    docs = _named(docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("op7_")]), stage)
+    rows = docs.select("doc_id", "op7_rid", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // PART_BYTES)
-    slots = max(MIN_SLOTS, 2 * (1 + total // PART_BYTES))
-    found = [stage.write(_ranked(_sampled(rows, parts, block), parts, slots), f"found-{block}") for block in range(BLOCKS)]
-    found = stage.spark.read.parquet(*[stage.path(f"found-{block}") for block in range(BLOCKS)]) if BLOCKS > 1 else found[0]
-    contexts = stage.write(_contexts(rows, found, parts, slots), "contexts")
-    hot = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram")
+    slots = _slots(total)
+    found = [stage.write(_ranked(_sampled(rows, parts, block), parts, slots), f"found-{block}", "kind") for block in range(BLOCKS)]
+    copies, asked = (reduce(DataFrame.union, [f.filter(f"kind = {kind}").select("slot", "kind", "data") for f in found]) for kind in (COPIES, ASKED))
+    contexts = stage.write(_contexts(rows, asked, parts, slots), "contexts")
+    for block in range(BLOCKS):
+        stage.drop(f"found-{block}/kind={ASKED}")
+    # few: each stands for more than HOT contexts, so the contexts need not travel to meet them
+    hot = F.broadcast(contexts.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"))
     masks = _compared(contexts.join(hot, "gram", "left_anti"), parts, slots).union(_compared_hot(contexts.join(hot, "gram", "left_semi"), slots))
     masks = stage.write(masks, "masks")
     stage.drop("contexts")
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("op7_")], rid)
-    return _beside(kept, found.filter(f"kind = {COPIES}").union(masks), parts, slots)
+    return _beside(docs, copies.union(masks), parts, slots)
 
 
 def removals(batches) -> Iterator[tuple]:

@@ -293,3 +293,27 @@ def test_pipeline(spark, tmp_path):
     kept = quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     assert len(ids) == len(set(ids)) and set(ids) <= {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "quality classifier"]
+
+
+def test_a_place_costs_no_more_where_its_parts_are_many():
+    """The more parts, the fewer places of one document in each: what names a place must not take more for that."""
+    rng = np.random.default_rng(2)
+    doc = np.sort(rng.integers(0, 20_000, 200_000))
+    pos = rng.integers(0, 4000, len(doc)).astype(np.int32)
+    size = lambda n: sum(len(substrings._zip(doc[p::n], doc[p::n], pos[p::n])) for p in range(0, n, n // 10)) / 20_000
+    assert size(400) < 3.5 and size(400) < 1.5 * size(10)
+    for columns in ((doc, doc[::-1].copy(), pos), (np.array([2**63 - 1, -(2**63), 0, -1]), np.array([5, 5, -7, 2**62]), np.array([2**31 - 1, 0, -(2**31), 3], np.int32)), (doc[:0], doc[:0], pos[:0])):
+        assert all((a == b).all() for a, b in zip(columns, substrings._unzip(substrings._zip(*columns), "i8", "i8", "i4"), strict=True))
+
+
+def test_repeated_doc_ids_in_substrings(spark):
+    """Rows of one doc_id are told apart by their texts, whether or not others repeat; steps of doc_id are dealt evenly."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = noise(90)
+    rows = [(8, passage + noise(30)), (8, noise(40) + passage), (16, passage), (16, noise(70)), (None, passage), (None, passage), (24, "x" + passage)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substrings.substring_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r["doc_id"] is not None)
+    assert got == [(8, 120, 0), (8, 130, 0), (16, 70, 0), (16, 90, 90), (24, 91, 90)]
+    for total in (0, 10**9, 10**11):
+        n = substrings._slots(total)
+        assert n >= 2 * (total // substrings.PART_BYTES) and len({i * 1000 % n for i in range(n)}) == n
