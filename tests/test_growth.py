@@ -180,3 +180,43 @@ def test_a_document_is_parsed_once(spark):
     assert heads == {"id"}  # a schema cut for each field begins with that field
     r = read.first()
     assert (r["id"], r["from_id"], r["relation_type"], r["strength"], r["polarity"]) == ("1", "a", "", 0.5, -1.0)
+
+
+def test_sets_of_frequent_words_are_found_by_twos_and_threes(spark, monkeypatch):
+    """Near copies of all sizes whose words are all frequent: brute force finds the same, and few others meet."""
+    import random
+
+    from mnemaspark.functions import signatures
+
+    monkeypatch.setattr(signatures, "ALONE", 1)
+    monkeypatch.setattr(signatures, "BY_CHANCE", 0.5)
+    monkeypatch.setattr(signatures, "GROUP_TOKENS", 3000)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(700)]
+    sets = {i: set(rng.sample(words, n)) for i, n in enumerate([*range(1, 40), *(rng.randint(12, 500) for _ in range(160))])}
+    for i in range(200, 420):
+        base = sorted(sets[rng.randrange(i - 199 + 60)])
+        sets[i] = set(rng.sample(base, max(1, round(len(base) * rng.uniform(0.7, 1))))) | set(rng.sample(words, round(len(base) * rng.uniform(0, 0.15))))
+    share = lambda a, b: len(a & b) / len(a | b)
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, toks array<string>").repartition(3)
+    for threshold in (0.7, 0.85):
+        want = {(a, b): share(sets[a], sets[b]) for a in sets for b in sets if a < b and share(sets[a], sets[b]) >= threshold}
+        got = {(r["a"], r["b"]): r["sim"] for r in S.similar_pairs(rows, [], "toks", threshold, large=True).collect()}
+        assert got == want and len(want) > 50
+    assert signatures.candidates(S.hashed(rows.limit(0), "toks"), 0.7, 0, 0).count() == 0
+    with_others = rows.union(spark.createDataFrame([(1000, sorted(sets[5]))], rows.schema))
+    assert (5, 1000, 1.0) in set(map(tuple, S.similar_pairs(with_others, [], "toks", 0.7, large=True).collect()))
+
+
+def test_sets_of_frequent_words_seldom_meet(spark, monkeypatch):
+    """Sets that are far from similar, of words that a tenth of all sets hold: single words would bring nearly each to each."""
+    import random
+
+    from mnemaspark.functions import signatures
+
+    monkeypatch.setattr(signatures, "ALONE", 1)
+    monkeypatch.setattr(signatures, "BY_CHANCE", 0.5)
+    rng = random.Random(12)
+    rows = spark.createDataFrame([(i, [f"w{j}" for j in rng.sample(range(600), 60)]) for i in range(600)], "id long, toks array<string>")
+    before, after = S._candidates(rows, [], 0.7).count(), signatures.candidates(S.hashed(rows, "toks"), 0.7, 600, 36_000).count()
+    assert before > 30_000 and after < before / 20
